@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import sentence_pieces
+from lodestone.llm import quality_rules, sentence_pieces
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,13 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_sentence_pieces,)}
+    return {f.__name__: f for f in (op4_sentence_pieces, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
