@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import quality_rules, sentence_pieces
+from lodestone.llm import ngram_join, quality_rules, sentence_pieces
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -23,7 +27,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_sentence_pieces, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_sentence_pieces, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
