@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import ngram_join, quality_rules, sentence_pieces
+from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, sentence_pieces
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +27,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_templates.without_recurring_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("n_dropped_lines").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_join, op4_sentence_pieces, op5_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:

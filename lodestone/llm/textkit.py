@@ -19,6 +19,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that part words when only letters, digits and bytes beyond ASCII count as words.
+_NON_LETTER = np.ones(256, dtype=bool)
+_NON_LETTER[128:] = False
+_NON_LETTER[48:58] = _NON_LETTER[65:91] = _NON_LETTER[97:123] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -49,12 +53,12 @@ class Words:
     """The words of several texts. `doc` is the index of each word's text, `hash` its 64-bit hash,
     `start` and `end` its byte range in `data`; `first[i]:first[i+1]` are the words of text i."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = True, letters: bool = False):
         self.bounds = bounds
         self.data = _LOWER[data] if lower else data
         n = len(data)
         inside = np.zeros(n + 2, dtype=bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~(_NON_LETTER if letters else _SPACE)[data]
         opens = inside[1:-1] & ~inside[:-2]
         closes = inside[1:-1] & ~inside[2:]
         edges = bounds[1:-1]
@@ -119,9 +123,11 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         row += len(chunk)
 
 
-def words_of(texts, lower: bool = True, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Words]]:
+def words_of(texts, lower: bool = True, letters: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Words]]:
+    """Slices of the column as Words. `lower` folds A-Z; with `letters`, ASCII punctuation parts
+    words just as white space does."""
     for row, data, bounds in slices(texts, limit):
-        yield row, Words(data, bounds, lower)
+        yield row, Words(data, bounds, lower, letters)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
