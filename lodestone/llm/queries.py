@@ -8,12 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, sentence_pieces
+from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, training_order
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    made = reply_trees.conversations(reply_trees.linear(rows, "conv_id", "turn"))
+    turns = F.array_join(F.transform(reply_trees.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = reply_trees.under_loss(F.col("formatted"), F.col("loss"))
+    made = made.select(F.col("tree").alias("conv_id"), "n_turns", "formatted", turns.alias("turns"), learned.alias("learned"))
+    return made.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+#: Escaping breaks each control string up by a backslash; the template adds 18 characters a turn.
+def _escaped_sql(column: str) -> str:
+    out = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for c in reply_trees.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP1_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         length({_escaped_sql("role")}) + length({_escaped_sql("text")}) + 18 AS chars
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -36,9 +71,15 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_dropped_lines").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = training_order.sequences(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end=50256, key=20240229)
+    return rows.withColumn("payload_sha256", F.sha2("payload", 256))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates)}
+    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_reply_trees": OP1_SQL}
