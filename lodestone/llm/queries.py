@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, training_order
+from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, training_order, url_trust
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +77,15 @@ def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("payload_sha256", F.sha2("payload", 256))
 
 
+URL_RULES = [url_trust.UrlRule(v, h, p) for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))]
+
+
+def op9_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order)}
+    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust)}
 
 
 def oracle_sql() -> dict[str, str]:
