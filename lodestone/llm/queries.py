@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, training_order, url_trust
+from lodestone.llm import bilinear, decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, training_order, url_trust
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +84,12 @@ def op9_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust)}
+    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust, op10_bilinear)}
 
 
 def oracle_sql() -> dict[str, str]:
