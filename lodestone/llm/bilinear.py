@@ -36,7 +36,7 @@ from lodestone.llm.textkit import Words, lists, signed, words_of
 FOLDS, HELD_OUT = 5, 1
 #: Classes with a vector, frequent tokens that every task looks up, dimensions, rounds.
 VOCAB, HEAD, DIMS, ROUNDS = 1000, 65_536, 32, 2
-BATCH, NOISE, RATE = 4096, 32, 0.08
+BATCH, NOISE, RATE = 1024, 96, 0.1
 END = np.uint64(0x5E17E4CE0FF1CE00)
 OTHER, START = 0, 1
 #: Distinct tokens that a task counts before it hands them on.
@@ -176,7 +176,7 @@ class Trainer:
         self.noise = share / share.sum()
         self.edges = np.cumsum(self.noise)
         self.log_noise = np.log(np.maximum(NOISE * self.noise, 1e-12)).astype(np.float32)
-        self.past = {k: np.full_like(getattr(model, k), 1e-2) for k in Model.NAMES}
+        self.past = {k: np.full_like(getattr(model, k), 1e-7) for k in Model.NAMES}
 
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m, n = self.m, len(target)
