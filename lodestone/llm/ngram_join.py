@@ -119,37 +119,59 @@ def _points(s: np.ndarray) -> bytes:
     return counts.astype(np.uint16).clip(0, 65535).tobytes()
 
 
-def directory(docs: DataFrame, id_col: str, text: str, width: int, rule: Threshold) -> DataFrame:
-    """Per row: id, n (size of its set), node (hash of the set) and keys (array<long>)."""
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+
+
+def named_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """Per row: id, n (size of its set) and node (hash of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, cache = rule.bands(1 << 12), {}
         for b in batches:
-            n, node, keys = [], [], []
+            n, node = [], []
             for s in _sets(b.column(1), width):
-                while len(s) >= bands[-1]:
-                    bands = rule.bands(int(bands[-1]) * 2)
                 n.append(len(s))
                 node.append(_digest(s))
-                keys.append(_keys(s, rule, bands, cache) if len(s) else np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(node, dtype=np.uint64))), lists(signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64), np.array([len(k) for k in keys]), pa.int64())], names=["id", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(node, dtype=np.uint64)))], names=["id", "n", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, node long, keys array<long>")
+    return _texts(docs, id_col, text).mapInArrow(run, f"id {kind}, n long, node long")
+
+
+def directory(docs: DataFrame, id_col: str, text: str, width: int, rule: Threshold) -> DataFrame:
+    """Per row with a set: node and keys (array<long>). Taken from the texts anew rather than kept
+    with `named_sets`, as the keys are as large as the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, cache = rule.bands(1 << 12), {}
+        for b in batches:
+            node, keys = [], []
+            for s in _sets(b.column(0), width):
+                while len(s) >= bands[-1]:
+                    bands = rule.bands(int(bands[-1]) * 2)
+                if len(s):
+                    node.append(_digest(s))
+                    keys.append(_keys(s, rule, bands, cache))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(node, dtype=np.uint64))), lists(signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64), np.array([len(k) for k in keys]), pa.int64())], names=["node", "keys"])
+
+    return _texts(docs, id_col, text).select("text").mapInArrow(run, "node long, keys array<long>")
 
 
 def _whole_sets(need: DataFrame, docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(node, n, set, point) of the texts in `need` (node, id)."""
+    """(node, n, set, point) of the texts in `need` (node, id). Where rows repeat an id, those with
+    another set are left out, and equal rows may repeat, which changes no link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(_sets(b.column(1), width))
+            same = signed(np.array([_digest(s) for s in sets], dtype=np.uint64)) == np.asarray(b.column(0))
+            sets = [s for s, k in zip(sets, same, strict=True) if k]
             flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists(flat, n, pa.int64()), pa.array([_points(s) for s in sets], pa.binary())], names=["node", "n", "set", "point"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(same)), pa.array(n), lists(flat, n, pa.int64()), pa.array([_points(s) for s in sets], pa.binary())], names=["node", "n", "set", "point"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(need.select("node", "id"), "id").select("node", "text")
-    return texts.mapInArrow(run, "node long, n long, set array<long>, point binary").dropDuplicates(["node"])
+    texts = _texts(docs, id_col, text).join(need.select("node", "id"), "id").select("node", "text")
+    return texts.mapInArrow(run, "node long, n long, set array<long>, point binary")
 
 
 def verified(edges: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
@@ -247,11 +269,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rule = Threshold(num, den)
     p = parts(spark)
-    made = settle(directory(docs, id_col, text, width, rule), "sets")
-    members = made.select("id", "n", "node")
+    members = settle(named_sets(docs, id_col, text, width), "sets")
     first = members.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
 
-    dealt = made.where("n > 0").select("node", F.explode("keys").alias("key")).repartition(p, "key")
+    dealt = directory(docs, id_col, text, width, rule).select("node", F.explode("keys").alias("key")).repartition(p, "key")
     shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
     nodes = settle(dealt.join(shared, "key").select("key", "node", "low").distinct(), "nodes")
     del dealt, shared
@@ -259,8 +280,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     need = nodes.select("node").distinct().join(first, "node")
     sets = settle(_whole_sets(need, docs, id_col, text, width), "whole")
+    tidy(spark)
     tries = nodes.where("node != low").groupBy("node", "low").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("low", F.struct("k", "low")).alias("b")).select(F.col("node").alias("a"), "b")
     links = settle(verified(tries, sets, rule), "links")
+    tidy(spark)
     comp = settle(components(links), "comp")
 
     placed = nodes.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -271,7 +294,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spread = held.select("key", "node", "comp", "n", "point", "tiles", tile).select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     spread = spread.select("key", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "n", "point")
     pairs = settle(_search_nodes(spread, rule), "pairs")
+    tidy(spark)
     more = settle(verified(pairs, sets, rule), "links")
+    tidy(spark)
     final = settle(components(links.unionByName(more)), "comp")
     drop(nodes, sets, comp, held, pairs, links, more)
 

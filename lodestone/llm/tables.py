@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,12 @@ def drop(*frames: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner notice shuffles whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner notice shuffles whose frames are gone, so that their files do not stay on
+    disk beside those of the next steps."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def parts(spark: SparkSession) -> int:
