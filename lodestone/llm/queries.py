@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bilinear, decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, training_order, url_trust
+from lodestone.llm import bilinear, decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, suffix_dedup, training_order, url_trust
 from lodestone.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.clean(read(spark, sf_dir, "documents"))
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -89,7 +93,7 @@ def op10_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust, op10_bilinear)}
+    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op3_suffix_dedup, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust, op10_bilinear)}
 
 
 def oracle_sql() -> dict[str, str]:
