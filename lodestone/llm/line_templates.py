@@ -22,20 +22,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import drop, settle
+from lodestone.llm.tables import drop, settle, tidy
 
 DEPTH, MAX_CHILDREN, MIN_DOCS, MIN_TOKENS = 4, 8, 10, 3
 VARIABLE = "<*>"
 
 
 def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """(id, content, sketch, line_no, tokens, leaf) of the lines with enough tokens."""
+    """(id, content, sketch, line_no, line, leaf) of the lines with enough tokens; in `line` tokens
+    are parted by one space and those with a digit replaced. The leaf takes no list of tokens: it is
+    a hash of the number of spaces and of what stands before the space number `depth`."""
     cut = F.split(F.col(text), "\n", -1)
     d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), cut.alias("lines"))
     d = d.select("id", "content", F.array_min(F.transform("lines", lambda x: F.xxhash64(x))).alias("sketch"), F.posexplode("lines").alias("line_no", "line"))
-    masked = F.regexp_replace(F.trim(F.regexp_replace("line", r"[\t\x0B\f\r]", " ")), r"[^ ]*[0-9][^ ]*", VARIABLE)
-    d = d.select("id", "content", "sketch", "line_no", F.split(masked, " +").alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return d.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    line = F.col("line")
+    d = d.withColumn("line", F.trim(F.translate(line, "\t\x0b\f\r", "    ")))
+    d = d.withColumn("line", F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
+    d = d.withColumn("line", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line))
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    d = d.where((line != "") & (spaces >= min_tokens - 1))
+    return d.withColumn("leaf", F.xxhash64(spaces, F.substring_index(line, " ", depth)))
 
 
 def _contents(rows: DataFrame, key: str) -> DataFrame:
@@ -51,7 +57,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(id, content, line_no, template): the lines to drop. `content` is xxhash64 of the text."""
     lines = _lines(docs, id_col, text, depth, min_tokens)
     leaves = _contents(lines, "leaf").where((F.col("contents") >= min_docs) & (F.col("sketches") >= min_docs)).select("leaf")
-    near = settle(lines.join(leaves, "leaf", "left_semi"), "lines")
+    near = settle(lines.join(leaves, "leaf", "left_semi").withColumn("tokens", F.split("line", " ")).drop("line"), "lines")
+    tidy(docs.sparkSession)
     spots = near.where(F.size("tokens") > depth).select("leaf", F.posexplode("tokens").alias("at", "token")).where(f"at >= {depth}")
     loose = spots.groupBy("leaf", "at", "token").agg(F.lit(1).alias("one")).groupBy("leaf", "at").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).groupBy("leaf").agg(F.collect_set("at").alias("loose"))
     shaped = near.join(loose, "leaf", "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<int>")))
