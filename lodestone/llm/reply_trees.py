@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.tables import drop, settle
+from lodestone.llm.tables import settle
 
 TURN, ROLE_END, END = "[TURN]", "[/TURN]", "</s>"
 #: Fixed strings that tokenizers or chat templates give a meaning.
@@ -48,44 +48,46 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _pointers(messages: DataFrame) -> list[DataFrame]:
-    """Settled tables (tree, node, up, steps, total): level k has the ancestor 2**k steps up, null
-    if the root is nearer; steps messages with this sum of scores lie below it, the node included.
-    In the last, every path that ends at a root has ended."""
-    spark = messages.sparkSession
+def _pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Settled tables (tree, node, up, steps, total): level k has the messages that have an ancestor
+    2**k steps up, with the number of messages and the sum of scores below it, the node included;
+    and the table of those whose path has ended at a root (up is null). A message leaves the
+    levels when its path has ended, so long trees cost short ones nothing."""
     ids = messages.select("tree", F.col("node").alias("up"))
-    now = messages.select("tree", "node", "parent", "score").join(ids.select("tree", F.col("up").alias("parent"), F.lit(1).alias("there")), ["tree", "parent"], "left")
-    now = settle(now.select("tree", "node", F.when(F.col("there").isNotNull(), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce("score", F.lit(0.0)).alias("total")), "up")
-    levels, open_rows = [now], now.where("up is not null").count()
-    while open_rows:
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("s"), F.col("total").alias("t"))
-        now = settle(now.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total")), "up")
-        levels.append(now)
-        left = now.where("up is not null").count()
-        if left == open_rows:  # nothing came nearer to a root: the rest hangs on cycles
+    start = messages.select("tree", "node", "parent", "score").join(ids.select("tree", F.col("up").alias("parent"), F.lit(1).alias("there")), ["tree", "parent"], "left")
+    start = settle(start.select("tree", "node", F.when(F.col("there").isNotNull(), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce("score", F.lit(0.0)).alias("total")), "up")
+    levels, ended = [start.where("up is not null")], start.where("up is null")
+    left = levels[0].count()
+    while left:
+        now = levels[-1]
+        above = ended.unionByName(now).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("s"), F.col("total").alias("t"))
+        jumped = settle(now.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("steps") + F.col("s")).alias("steps"), (F.col("total") + F.col("t")).alias("total")), "up")
+        open_rows = jumped.where("up is not null")
+        ended = ended.unionByName(jumped.where("up is null"))
+        before, left = left, open_rows.count()
+        if left == before:  # nothing came nearer to a root: the rest hangs on cycles
             break
-        open_rows = left
-    return levels
+        if left:
+            levels.append(open_rows)
+    return levels, ended
 
 
 def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, rank, leaf, pos, node) of the best-ranked root-to-leaf paths of each tree, from
     messages (tree, node, parent, score)."""
-    levels = _pointers(messages)
-    parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = levels[-1].where("up is null").join(parents, ["tree", "node"], "left_anti")
+    levels, ended = _pointers(messages)
+    parents = levels[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = ended.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("steps")).desc(), F.col("steps").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     found = chosen.select("tree", "rank", F.col("node").alias("leaf"), (F.col("steps") - 1).alias("pos"), "node")
     jump = 1 << len(levels)
     for level in reversed(levels):
         jump >>= 1
-        up = level.where("up is not null").select("tree", "node", "up")
+        up = level.select("tree", "node", "up")
         both = F.explode(F.filter(F.array(F.struct("node", "pos"), F.struct(F.col("up").alias("node"), (F.col("pos") - jump).alias("pos"))), lambda x: x["node"].isNotNull()))
         found = found.join(up, ["tree", "node"], "left").select("tree", "rank", "leaf", both.alias("at")).select("tree", "rank", "leaf", "at.pos", "at.node")
-    out = settle(found, "paths")
-    drop(*levels)
-    return out
+    return settle(found, "paths")
 
 
 def conversations(messages: DataFrame, best: int = 1) -> DataFrame:
