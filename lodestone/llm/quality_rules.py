@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.textkit import Words, mix, words_of
 
@@ -83,34 +84,50 @@ def _line_counts(data: bytes, bounds: np.ndarray) -> tuple[list[int], list[int]]
     return lines, dup
 
 
+def _counts(texts: pa.Array) -> list[pa.Array]:
+    cols: dict[str, list] = {c: [] for c in COUNTS}
+    for _, w in words_of(texts, lower=False):
+        lines, dup = _line_counts(w.data.tobytes(), w.bounds)
+        cols["n_words"].append(w.count)
+        cols["word_chars"].append(_per_text(_LETTERLIKE[w.data], w.bounds))
+        for c, table in _CLASSES.items():
+            cols[c].append(_per_text(table[w.data], w.bounds))
+        cols["n_repeat_words"].append(repeated_words(w))
+        cols["n_lines"].append(lines)
+        cols["n_dup_lines"].append(dup)
+    return [pa.array(np.concatenate(cols[c]) if cols[c] else [], pa.int64()) for c in COUNTS]
+
+
 def statistics(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `df`: its id and COUNTS (long), over the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in COUNTS}
-            for _, w in words_of(b.column(1), lower=False):
-                lines, dup = _line_counts(w.data.tobytes(), w.bounds)
-                cols["n_words"].append(w.count)
-                cols["word_chars"].append(_per_text(_LETTERLIKE[w.data], w.bounds))
-                for c, table in _CLASSES.items():
-                    cols[c].append(_per_text(table[w.data], w.bounds))
-                cols["n_repeat_words"].append(repeated_words(w))
-                cols["n_lines"].append(lines)
-                cols["n_dup_lines"].append(dup)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(cols[c]) if cols[c] else [], pa.int64()) for c in COUNTS)], names=[id_col, *COUNTS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_counts(b.column(1))], names=[id_col, *COUNTS])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def with_counts(df: DataFrame, text: str, into: str) -> DataFrame:
+    """`df` with the counts of each row's text as the struct column `into`."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(_counts(b.column(at)), list(COUNTS))], names=[*b.schema.names, into])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))]))
+
+
 #: Ratios that rules set thresholds on: (numerator, denominator or None).
 RATIOS = {"words": ("n_words", None), "mean_word": ("word_chars", "n_words"), "symbols": ("n_symbols", "word_chars"), "upper": ("n_upper", "word_chars"), "digits": ("n_digits", "word_chars"), "marks": ("n_marks", "word_chars"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "words_a_line": ("n_words", "n_lines")}
 
 
-def ratio(name: str) -> Column:
+def ratio(name: str, at: str = "") -> Column:
+    """The ratio from columns of COUNTS, or from the fields of a struct if `at` is its name and a dot."""
     top, bottom = RATIOS[name]
-    return F.col(top).cast("double") if bottom is None else F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(bottom)), F.lit(0.0))
+    return F.col(at + top).cast("double") if bottom is None else F.coalesce(F.try_divide(F.col(at + top).cast("double"), F.col(at + bottom)), F.lit(0.0))
 
 
 @dataclass(frozen=True)
@@ -125,10 +142,10 @@ class Rule:
             out &= x[name] <= t if op == "<=" else x[name] > t
         return out
 
-    def column(self) -> Column:
+    def column(self, at: str = "") -> Column:
         out = F.lit(True)
         for name, op, t in self.conditions:
-            out = out & (ratio(name) <= t if op == "<=" else ratio(name) > t)
+            out = out & (ratio(name, at) <= t if op == "<=" else ratio(name, at) > t)
         return out
 
     def __str__(self) -> str:
@@ -139,12 +156,12 @@ class Rule:
 class DecisionList:
     rules: list[Rule] = field(default_factory=list)
 
-    def kept(self) -> Column:
+    def kept(self, at: str = "") -> Column:
         """The list as an ordered conditional expression over COUNTS: false for a row that a rule
         rejects, else true."""
         out = None
         for r in self.rules:
-            out = F.when(r.column(), F.lit(False)) if out is None else out.when(r.column(), F.lit(False))
+            out = F.when(r.column(at), F.lit(False)) if out is None else out.when(r.column(at), F.lit(False))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
     def reason(self) -> Column:
@@ -240,8 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return learn({r: rows[f"__{r}"].to_numpy(dtype=float)[order] for r in RATIOS}, bad[order], **options)
 
 
-def base_failed(min_words: int = 20, repeat_percent: int = 30) -> Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+def base_failed(min_words: int = 20, repeat_percent: int = 30, at: str = "") -> Column:
+    return (F.col(at + "n_words") < min_words) | (100 * F.col(at + "n_repeat_words") > repeat_percent * F.col(at + "n_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -249,3 +266,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     rule that rejected the document, if one did."""
     rules = fit(docs, labels, id_col, text, **options)
     return statistics(docs, id_col, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.kept()).withColumn("rule", F.when(~F.col("base_failed"), rules.reason()))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, that neither the base rules nor the list reject."""
+    rules = fit(docs, labels, id_col, text, **options)
+    into = "__counts"
+    while into in docs.columns:
+        into += "_"
+    return with_counts(docs, text, into).where(~base_failed(at=f"{into}.") & rules.kept(f"{into}.")).select(docs.columns)

@@ -22,8 +22,12 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from lodestone.llm.textkit import lists
 
 MARK = "▁"
 #: Chunks that a worker remembers; the frequent ones come early, so those after that are not kept.
@@ -285,7 +289,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
     """Add the column `ids` (array<int>) with the ids of `text`. An input column of that name is an
     error, other columns are carried along."""
     _clear(df, ids)
-    schema = df.schema.add(ids, "array<int>")
+    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -299,7 +303,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids")
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the column `out` with the text of `ids` (null: the empty text)."""
     _clear(df, out)
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -310,21 +314,26 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode each text in one pass and return digests only: the id, n_tokens,
-    ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the UTF-8 text)."""
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode each text in one pass: the id, n_tokens, ids_sha256 (of the decimal ids
+    joined by commas) and decoded_sha256 (of the UTF-8 text), with `keep_ids` also token_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         decimal = [str(i) for i in range(len(m.pieces))]
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, kept = [], [], [], []
             for t in b.column(1):
                 ids = m.encode(t.as_py())
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                 d.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    kept.append(np.array(ids, dtype=np.int32))
+            out = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+            if keep_ids:
+                out.append(lists(np.concatenate(kept) if kept else np.zeros(0, np.int32), np.array(n, dtype=np.int64), pa.int32()))
+            yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if keep_ids else [])])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if keep_ids else ""))
