@@ -13,10 +13,10 @@ counts per group are a point. Two sets that reach the threshold differ in at mos
   box's upper corner; subtrees, then points, whose bound is too low are left out;
 * pairs that survive are verified on the whole sets.
 
-Equal sets are one point from the start. Links are first looked for between each text and the
-first text of the node it shares most blocks with, which ties most groups of copies together;
-the R-tree search then runs only in nodes that still hold different components, and only for pairs
-across components, as only those can change the result. Large nodes are searched in tiles of
+Equal sets are one point from the start. In a few rounds each text is first compared with one
+pivot, of the node of another component that it shares most blocks with, which ties most groups of
+copies together; the R-tree search then runs in all nodes that still hold different components,
+for all pairs across components, as only those can change the result. Large nodes are searched in tiles of
 bounded size, so no task holds an unbounded group; each pair of tiles is a task of its own.
 
 Null, empty and white-space texts have an empty set, link with nothing and are their own class;
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.tables import components, drop, parts, settle, tidy
 from lodestone.llm.textkit import groups, lists, mix, signed, words_of
 
+#: Rounds in which each text is compared with one pivot of its nodes.
+PIVOTS = 4
 #: Coordinates of a point, points of a leaf, texts of a tile, edges of one hub verified together.
-GROUPS, FANOUT, TILE, HUB = 64, 32, 2048, 4096
+GROUPS, FANOUT, TILE, HUB = 256, 32, 2048, 4096
 
 
 class Threshold:
@@ -273,20 +275,27 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     first = members.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
 
     dealt = directory(docs, id_col, text, width, rule).select("node", F.explode("keys").alias("key")).repartition(p, "key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    nodes = settle(dealt.join(shared, "key").select("key", "node", "low").distinct(), "nodes")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    nodes = settle(dealt.join(shared, "key").select("key", "node").distinct(), "nodes")
     del dealt, shared
     tidy(spark)
 
     need = nodes.select("node").distinct().join(first, "node")
     sets = settle(_whole_sets(need, docs, id_col, text, width), "whole")
     tidy(spark)
-    tries = nodes.where("node != low").groupBy("node", "low").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("low", F.struct("k", "low")).alias("b")).select(F.col("node").alias("a"), "b")
-    links = settle(verified(tries, sets, rule), "links")
-    tidy(spark)
-    comp = settle(components(links), "comp")
-
-    placed = nodes.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    links, comp = None, nodes.select("node").distinct().withColumn("comp", F.col("node"))
+    for turn in range(PIVOTS):
+        placed = nodes.join(comp, "node")
+        pivot = placed.groupBy("key").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "pivot")
+        tries = placed.join(pivot, "key").where(F.col("comp") != F.col("pivot.comp")).groupBy("node", F.col("pivot.node").alias("b")).agg(F.count("*").alias("k"))
+        tries = tries.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.col("node").alias("a"), "b")
+        found = settle(verified(tries, sets, rule), "links")
+        links = found if links is None else links.unionByName(found)
+        whole = components(links)
+        comp = settle(comp.select("node").join(whole, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comp")
+        tidy(spark)
+
+    placed = nodes.join(comp, "node")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.hash("node")).alias("also")).where("c0 < c1")
     mixed = mixed.groupBy("k", "who", "also").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(k / {TILE}) as int)").alias("tiles"))
     held = settle(placed.join(mixed, "key").join(sets.select("node", "n", "point"), "node"), "held")
@@ -298,7 +307,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     more = settle(verified(pairs, sets, rule), "links")
     tidy(spark)
     final = settle(components(links.unionByName(more)), "comp")
-    drop(nodes, sets, comp, held, pairs, links, more)
+    drop(nodes, sets, held, pairs)
 
     by_node = first.join(final, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     smallest = by_node.groupBy("comp").agg(F.min("id").alias("component_id"))
