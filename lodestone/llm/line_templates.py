@@ -7,8 +7,8 @@ occur is a variable field too. The line with its variable fields replaced is its
 fewer than half of its tokens stay fixed; then it has none.
 
 A template recurs if it is in at least MIN_DOCS documents of different content, whatever stands
-around it: documents are told apart by a sketch, the smallest hash of their lines, and there must
-be at least half as many sketches as contents (and MIN_DOCS). So boilerplate recurs, but the
+around it: documents are told apart by a sketch, the smallest hash of their other lines, and there
+must be at least half as many sketches as contents (and MIN_DOCS). So boilerplate recurs, but the
 lines that a group of copies has in common do not; these are for the near-duplicate join. All
 lines with a recurring template are dropped.
 
@@ -34,8 +34,11 @@ def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int)
     a hash of the number of spaces and of what stands before the space number `depth`."""
     cut = F.split(F.col(text), "\n", -1)
     d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), cut.alias("lines"))
-    d = d.select("id", "content", F.array_min(F.transform("lines", lambda x: F.xxhash64(x))).alias("sketch"), F.posexplode("lines").alias("line_no", "line"))
+    d = d.withColumn("hashes", F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
+    d = d.withColumn("least", F.array_min("hashes")).withColumn("next", F.array_min(F.filter("hashes", lambda h: h != F.col("least"))))
+    d = d.select("id", "content", "least", "next", F.posexplode("lines").alias("line_no", "line"))
     line = F.col("line")
+    d = d.withColumn("sketch", F.when(F.xxhash64(line) == F.col("least"), F.coalesce("next", "content")).otherwise(F.col("least"))).drop("least", "next")
     d = d.withColumn("line", F.trim(F.translate(line, "\t\x0b\f\r", "    ")))
     d = d.withColumn("line", F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
     d = d.withColumn("line", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line))
