@@ -7,10 +7,12 @@ occur is a variable field too. The line with its variable fields replaced is its
 fewer than half of its tokens stay fixed; then it has none.
 
 A template recurs if it is in at least MIN_DOCS documents of different content, whatever stands
-around it: documents are told apart by a sketch, the smallest hash of their other lines, and there
-must be at least half as many sketches as contents (and MIN_DOCS). So boilerplate recurs, but the
-lines that a group of copies has in common do not; these are for the near-duplicate join. All
-lines with a recurring template are dropped.
+around it: documents are told apart by sketches, the smallest hash of their other lines under each
+of a few orders of the hashes, and under one of the orders there must be at least half as many
+sketches as contents (and MIN_DOCS). So boilerplate recurs, but the lines that a group of copies
+has in common do not; these are for the near-duplicate join. Several orders are needed as a second
+recurring line can have the smallest hash under one of them. All lines with a recurring template
+are dropped.
 
 Lines with fewer than MIN_TOKENS tokens are kept. Null texts stay null and empty texts empty; both
 have no dropped lines. Rows that repeat an id are told apart by their text, and equal rows share
@@ -26,40 +28,51 @@ from lodestone.llm.tables import drop, settle, tidy
 
 DEPTH, MAX_CHILDREN, MIN_DOCS, MIN_TOKENS = 4, 8, 10, 3
 VARIABLE = "<*>"
+#: Other white space, and runs of it; a token with a digit, tried only where a token begins.
+_SPACES, _WITH_DIGIT = "[ \\t\\x0b\\f\\r]{2,}|[\\t\\x0b\\f\\r]", "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+"
+#: Hashes are compared after an exclusive or with these, which orders them anew.
+_ORDERS = (0, 0x5A3C96E10F7B28D4, -0x3C5A69E1F0847B2D)
+
+
+def _ordered(order: int) -> Column:
+    return F.transform("lines", lambda x: x["hash"].bitwiseXOR(F.lit(order)))
 
 
 def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """(id, content, sketch, line_no, line, leaf) of the lines with enough tokens; in `line` tokens
-    are parted by one space and those with a digit replaced. The leaf takes no list of tokens: it is
-    a hash of the number of spaces and of what stands before the space number `depth`."""
-    cut = F.split(F.col(text), "\n", -1)
-    d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), cut.alias("lines"))
-    d = d.withColumn("hashes", F.transform(F.filter("lines", lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
-    d = d.withColumn("least", F.array_min("hashes")).withColumn("next", F.array_min(F.filter("hashes", lambda h: h != F.col("least"))))
-    d = d.select("id", "content", "least", "next", F.posexplode("lines").alias("line_no", "line"))
-    line = F.col("line")
-    d = d.withColumn("sketch", F.when(F.xxhash64(line) == F.col("least"), F.coalesce("next", "content")).otherwise(F.col("least"))).drop("least", "next")
-    d = d.withColumn("line", F.trim(F.translate(line, "\t\x0b\f\r", "    ")))
-    d = d.withColumn("line", F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
-    d = d.withColumn("line", F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line))
+    """(id, content, sketches, line_no, line, leaf) of the lines with enough tokens; in `line` tokens
+    are parted by one space and those with a digit replaced. The whole text is rewritten before it
+    is cut, as an expression over lines would be copied into each filter that Catalyst pushes down.
+    The leaf takes no list of tokens: it is a hash of the number of spaces and of what stands before
+    the space number `depth`."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), _SPACES, " "), _WITH_DIGIT, VARIABLE)
+    d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.transform(F.split(F.col(text), "\n", -1), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)).alias("lines"))
+    d = d.withColumn("lines", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), F.get("hashes", i).alias("hash"), x.alias("line"))), lambda x: x["line"] != ""))
+    d = d.withColumns({f"by{k}": _ordered(m) for k, m in enumerate(_ORDERS)})
+    d = d.withColumns({f"least{k}": F.array_min(f"by{k}") for k in range(len(_ORDERS))})
+    d = d.withColumns({f"next{k}": F.array_min(F.array_remove(f"by{k}", F.col(f"least{k}"))) for k in range(len(_ORDERS))})
+    d = d.withColumn("one", F.explode("lines"))
+    line = F.col("one.line")
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    d = d.where((line != "") & (spaces >= min_tokens - 1))
-    return d.withColumn("leaf", F.xxhash64(spaces, F.substring_index(line, " ", depth)))
+    sketches = F.array(*(F.when(F.col("one.hash").bitwiseXOR(F.lit(m)) == F.col(f"least{k}"), F.coalesce(f"next{k}", "content")).otherwise(F.col(f"least{k}")) for k, m in enumerate(_ORDERS)))
+    return d.where(spaces >= min_tokens - 1).select("id", "content", sketches.alias("sketches"), "one.line_no", "one.line", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
 
 
-def _contents(rows: DataFrame, key: str) -> DataFrame:
-    """(key, contents, sketches): how many different contents and sketches each key is in."""
-    return rows.groupBy(key, "sketch", "content").agg(F.lit(1).alias("one")).groupBy(key, "sketch").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("contents"), F.count("*").alias("sketches"))
+def _contents(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """(key, contents) of the keys in at least `min_docs` different contents."""
+    return rows.groupBy(key, "content").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("contents")).where(F.col("contents") >= min_docs)
 
 
-def _recurs(min_docs: int) -> Column:
-    return (F.col("contents") >= min_docs) & (F.col("sketches") >= min_docs) & (2 * F.col("sketches") >= F.col("contents"))
+def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """The keys in enough contents and, under one order, enough sketches."""
+    spread = rows.select(key, F.posexplode("sketches").alias("order", "sketch"))
+    spread = spread.groupBy(key, "order", "sketch").agg(F.lit(1).alias("one")).groupBy(key, "order").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("sketches"))
+    return spread.where(F.col("sketches") >= min_docs).join(_contents(rows, key, min_docs), key).where(2 * F.col("sketches") >= F.col("contents")).select(key)
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, content, line_no, template): the lines to drop. `content` is xxhash64 of the text."""
     lines = _lines(docs, id_col, text, depth, min_tokens)
-    leaves = _contents(lines, "leaf").where((F.col("contents") >= min_docs) & (F.col("sketches") >= min_docs)).select("leaf")
+    leaves = _contents(lines, "leaf", min_docs).select("leaf")
     near = settle(lines.join(leaves, "leaf", "left_semi").withColumn("tokens", F.split("line", " ")).drop("line"), "lines")
     tidy(docs.sparkSession)
     spots = near.where(F.size("tokens") > depth).select("leaf", F.posexplode("tokens").alias("at", "token")).where(f"at >= {depth}")
@@ -67,8 +80,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shaped = near.join(loose, "leaf", "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<int>")))
     shaped = shaped.withColumn("shape", F.transform("tokens", lambda t, i: F.when(F.array_contains("loose", i), F.lit(VARIABLE)).otherwise(t)))
     fixed = F.size(F.filter("shape", lambda t: t != VARIABLE))
-    shaped = settle(shaped.where(2 * fixed >= F.size("shape")).select("id", "content", "sketch", "line_no", F.concat_ws(" ", "shape").alias("template")).withColumn("leaf", F.xxhash64("template")), "shapes")
-    again = _contents(shaped, "leaf").where(_recurs(min_docs)).select("leaf")
+    shaped = settle(shaped.where(2 * fixed >= F.size("shape")).select("id", "content", "sketches", "line_no", F.concat_ws(" ", "shape").alias("template")).withColumn("leaf", F.xxhash64("template")), "shapes")
+    again = _recurring(shaped, "leaf", min_docs)
     out = settle(shaped.join(again, "leaf", "left_semi").select("id", "content", "line_no", "template"), "recurring")
     drop(near, shaped)
     return out
