@@ -35,26 +35,28 @@ _ORDERS = (0, 0x5A3C96E10F7B28D4, -0x3C5A69E1F0847B2D)
 
 
 def _ordered(order: int) -> Column:
-    return F.transform("lines", lambda x: x["hash"].bitwiseXOR(F.lit(order)))
+    return F.transform("said", lambda x: x["hash"].bitwiseXOR(F.lit(order)))
 
 
 def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int) -> DataFrame:
     """(id, content, sketches, line_no, line, leaf) of the lines with enough tokens; in `line` tokens
     are parted by one space and those with a digit replaced. The whole text is rewritten before it
-    is cut, as an expression over lines would be copied into each filter that Catalyst pushes down.
+    is cut, as an expression over lines would be copied into each filter that Catalyst pushes down;
+    no lambda refers to a computed column, which would be computed anew for each element, and an
+    inner explode would add filters that repeat what makes its array.
     The leaf takes no list of tokens: it is a hash of the number of spaces and of what stands before
     the space number `depth`."""
     plain = F.regexp_replace(F.regexp_replace(F.col(text), _SPACES, " "), _WITH_DIGIT, VARIABLE)
     d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.transform(F.split(F.col(text), "\n", -1), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)).alias("lines"))
-    d = d.withColumn("lines", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), F.get("hashes", i).alias("hash"), x.alias("line"))), lambda x: x["line"] != ""))
+    d = d.withColumn("lines", F.arrays_zip(F.col("hashes").alias("hash"), F.col("lines").alias("line"))).withColumn("said", F.filter("lines", lambda x: x["line"] != ""))
     d = d.withColumns({f"by{k}": _ordered(m) for k, m in enumerate(_ORDERS)})
     d = d.withColumns({f"least{k}": F.array_min(f"by{k}") for k in range(len(_ORDERS))})
     d = d.withColumns({f"next{k}": F.array_min(F.array_remove(f"by{k}", F.col(f"least{k}"))) for k in range(len(_ORDERS))})
-    d = d.withColumn("one", F.explode("lines"))
+    d = d.select("*", F.posexplode_outer("lines").alias("line_no", "one"))
     line = F.col("one.line")
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     sketches = F.array(*(F.when(F.col("one.hash").bitwiseXOR(F.lit(m)) == F.col(f"least{k}"), F.coalesce(f"next{k}", "content")).otherwise(F.col(f"least{k}")) for k, m in enumerate(_ORDERS)))
-    return d.where(spaces >= min_tokens - 1).select("id", "content", sketches.alias("sketches"), "one.line_no", "one.line", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
+    return d.where((line != "") & (spaces >= min_tokens - 1)).select("id", "content", sketches.alias("sketches"), "line_no", "one.line", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
 
 
 def _contents(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
