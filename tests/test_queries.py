@@ -30,3 +30,18 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_cer_by_plain_loop(spark, con):
+    heads = dict(con.execute("SELECT item_id, left(text, 60) FROM benchmark").fetchall())
+    expected = {(i, edits(t, heads[i + 1]), round(edits(t, heads[i + 1]) / max(1, len(t)), 4)) for i, t in heads.items() if i + 1 in heads}
+    assert {(x.item_id, x.edits, x.cer) for x in catalogue.QUERIES["cer"](spark, SF).collect()} == expected
