@@ -41,6 +41,8 @@ from lodestone.llm.textkit import groups, lists, mix, signed, words_of
 PIVOTS = 4
 #: Coordinates of a point, points of a leaf, texts of a tile, edges of one hub verified together.
 GROUPS, FANOUT, TILE, HUB = 256, 32, 2048, 4096
+#: Keys of a text, the smallest ones, by which a pair is recognised that an earlier node gives too.
+EARLIER = 64
 
 
 class Threshold:
@@ -238,9 +240,23 @@ class RTree:
         return at[bound >= rule.needed(self.sizes[at] + size)]
 
 
+def _smaller(lists_of_keys: pa.ChunkedArray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sorted list the keys below `key`, filled up with `key`, and how many they are."""
+    lists_of_keys = pa.concat_arrays(lists_of_keys.chunks)
+    flat, length = np.asarray(lists_of_keys.flatten()), np.asarray(lists_of_keys.value_lengths())
+    row = np.repeat(np.arange(len(length)), length)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    below = flat < key
+    out = np.full((len(length), max(1, EARLIER)), key, dtype=np.int64)
+    out[row[below], at[below]] = flat[below]
+    return out, np.bincount(row[below], minlength=len(length))
+
+
 def _search_nodes(rows: DataFrame, rule: Threshold) -> DataFrame:
     """Pairs (a, b) across components that survive the bound, from rows (key, tile_a, tile_b, side,
-    node, comp, n, point)."""
+    node, comp, n, point, keys). Near copies meet in most of their nodes; a pair is left out where
+    its texts have a smaller key in common, so the node with its smallest common key gives it. As
+    `keys` has only the first few of each text, a pair may still come twice, but is never lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["key", "tile_a", "tile_b"]):
@@ -253,9 +269,16 @@ def _search_nodes(rows: DataFrame, rule: Threshold) -> DataFrame:
                 continue
             tree = RTree(points[right], n[right], label[right])
             names = node[right][tree.order]
+            keys, before = _smaller(g["keys"], int(g["key"][0].as_py()))
+            theirs = keys[right][tree.order]
             pairs = []
             for k in np.flatnonzero(left):
-                hits = names[tree.search(points[k], int(n[k]), int(label[k]), rule)]
+                found = tree.search(points[k], int(n[k]), int(label[k]), rule)
+                if before[k] and len(found):
+                    own = keys[k, : before[k]]
+                    spot = np.minimum(np.searchsorted(own, theirs[found]), before[k] - 1)
+                    found = found[~(own[spot] == theirs[found]).any(axis=1)]
+                hits = names[found]
                 if len(hits):
                     pairs.append(np.stack([np.maximum(hits, node[k]), np.minimum(hits, node[k])]))
             if pairs:
@@ -298,16 +321,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     placed = nodes.join(comp, "node")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.hash("node")).alias("also")).where("c0 < c1")
     mixed = mixed.groupBy("k", "who", "also").agg(F.min("key").alias("key")).select("key", F.expr(f"cast(ceil(k / {TILE}) as int)").alias("tiles"))
-    held = settle(placed.join(mixed, "key").join(sets.select("node", "n", "point"), "node"), "held")
+    searched = settle(placed.join(mixed, "key"), "searched")
+    own = searched.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, EARLIER).alias("keys"))
+    held = settle(searched.join(sets.select("node", "n", "point").join(own, "node"), "node"), "held")
     tile = F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile")
-    spread = held.select("key", "node", "comp", "n", "point", "tiles", tile).select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    spread = spread.select("key", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "n", "point")
+    spread = held.select("key", "node", "comp", "n", "point", "keys", "tiles", tile).select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    spread = spread.select("key", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "n", "point", "keys")
     pairs = settle(_search_nodes(spread, rule), "pairs")
     tidy(spark)
     more = settle(verified(pairs, sets, rule), "links")
     tidy(spark)
     final = settle(components(links.unionByName(more)), "comp")
-    drop(nodes, sets, held, pairs)
+    drop(nodes, sets, searched, held, pairs)
 
     by_node = first.join(final, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     smallest = by_node.groupBy("comp").agg(F.min("id").alias("component_id"))
