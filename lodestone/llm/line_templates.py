@@ -21,6 +21,9 @@ their result. Columns besides id and text are carried along by `without_recurrin
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,9 @@ from lodestone.llm.tables import drop, settle, tidy
 
 DEPTH, MAX_CHILDREN, MIN_DOCS, MIN_TOKENS = 4, 8, 10, 3
 VARIABLE = "<*>"
-#: Other white space, and runs of it; a token with a digit, tried only where a token begins.
+#: White space within lines besides the space.
+_WHITE = "\t\x0b\f\r"
+#: Such white space, and runs of any; a token with a digit, tried only where a token begins.
 _SPACES, _WITH_DIGIT = "[ \\t\\x0b\\f\\r]{2,}|[\\t\\x0b\\f\\r]", "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+"
 #: Hashes are compared after an exclusive or with these, which orders them anew.
 _ORDERS = (0, 0x5A3C96E10F7B28D4, -0x3C5A69E1F0847B2D)
@@ -46,7 +51,8 @@ def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int)
     inner explode would add filters that repeat what makes its array.
     The leaf takes no list of tokens: it is a hash of the number of spaces and of what stands before
     the space number `depth`."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(text), _SPACES, " "), _WITH_DIGIT, VARIABLE)
+    uneven = reduce(or_, (F.contains(F.col(text), F.lit(x)) for x in ("  ", *_WHITE)))
+    plain = F.regexp_replace(F.when(uneven, F.regexp_replace(F.col(text), _SPACES, " ")).otherwise(F.col(text)), _WITH_DIGIT, VARIABLE)
     d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.transform(F.split(F.col(text), "\n", -1), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)).alias("lines"))
     d = d.withColumn("lines", F.arrays_zip(F.col("hashes").alias("hash"), F.col("lines").alias("line"))).withColumn("said", F.filter("lines", lambda x: x["line"] != ""))
     d = d.withColumns({f"by{k}": _ordered(m) for k, m in enumerate(_ORDERS)})
