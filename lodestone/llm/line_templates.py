@@ -1,20 +1,27 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
 Each line of a text (cut at newlines) is parsed down a tree of fixed depth: first by its number of
-tokens (white space parts them), then by its first DEPTH tokens, where a token with a digit counts
-as a variable field `<*>`. In a leaf, a position at which more than MAX_CHILDREN different tokens
-occur is a variable field too. The line with its variable fields replaced is its template, unless
-fewer than half of its tokens stay fixed; then it has none.
+tokens (white space parts them), then by its first DEPTH tokens. A token with a digit counts as a
+variable field `<*>` anywhere. In a leaf, a position at which more than MAX_CHILDREN different tokens
+occur is a variable field too. The line has up to two templates, with and without the variable fields
+of its leaf, of which those count that keep at least half of their tokens fixed. Besides, each line
+that is not blank stands for itself, literally and with any number of tokens.
 
 A template recurs if it is in at least MIN_DOCS documents of different content, whatever stands
 around it: documents are told apart by sketches, the smallest hash of their other lines under each
 of a few orders of the hashes, and under one of the orders there must be at least half as many
 sketches as contents (and MIN_DOCS). So boilerplate recurs, but the lines that a group of copies
 has in common do not; these are for the near-duplicate join. Several orders are needed as a second
-recurring line can have the smallest hash under one of them. All lines with a recurring template
-are dropped.
+recurring line can have the smallest hash under one of them.
 
-Lines with fewer than MIN_TOKENS tokens are kept. Null texts stay null and empty texts empty; both
+As a large group of copies fails that share for lines that recur outside of it too, carriers are also
+counted: a document most of whose other lines are in no other document is a carrier of its own,
+one with more shared lines goes with those that have the same smallest hash among the shared ones, so
+that a group of copies is about one carrier whatever lines each adds. A literal line
+recurs if it has MIN_DOCS carriers. All lines that recur, or have a template that does, are
+dropped.
+
+Lines with fewer than MIN_TOKENS tokens have no template. Null texts stay null and empty texts empty; both
 have no dropped lines. Rows that repeat an id are told apart by their text, and equal rows share
 their result. Columns besides id and text are carried along by `without_recurring_lines`.
 """
@@ -35,6 +42,8 @@ VARIABLE = "<*>"
 _WHITE = "\t\x0b\f\r"
 #: Such white space, and runs of any; a token with a digit, tried only where a token begins.
 _SPACES, _WITH_DIGIT = "[ \\t\\x0b\\f\\r]{2,}|[\\t\\x0b\\f\\r]", "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+"
+#: What a line that is not blank has.
+_INK = "[^ \\t\\x0b\\f\\r]"
 #: Hashes are compared after an exclusive or with these, which orders them anew.
 _ORDERS = (0, 0x5A3C96E10F7B28D4, -0x3C5A69E1F0847B2D)
 
@@ -44,7 +53,7 @@ def _ordered(order: int) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """(id, content, sketches, line_no, line, leaf) of the lines with enough tokens; in `line` tokens
+    """(id, content, sketches, line_no, line, hash, leaf) of the lines with enough tokens; in `line` tokens
     are parted by one space and those with a digit replaced. The whole text is rewritten before it
     is cut, as an expression over lines would be copied into each filter that Catalyst pushes down;
     no lambda refers to a computed column, which would be computed anew for each element, and an
@@ -62,7 +71,7 @@ def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int)
     line = F.col("one.line")
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     sketches = F.array(*(F.when(F.col("one.hash").bitwiseXOR(F.lit(m)) == F.col(f"least{k}"), F.coalesce(f"next{k}", "content")).otherwise(F.col(f"least{k}")) for k, m in enumerate(_ORDERS)))
-    return d.where((line != "") & (spaces >= min_tokens - 1)).select("id", "content", sketches.alias("sketches"), "line_no", "one.line", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
+    return d.where((line != "") & (spaces >= min_tokens - 1)).select("id", "content", sketches.alias("sketches"), "line_no", "one.line", "one.hash", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
 
 
 def _contents(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -77,8 +86,37 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
     return spread.where(F.col("sketches") >= min_docs).join(_contents(rows, key, min_docs), key).where(2 * F.col("sketches") >= F.col("contents")).select(key)
 
 
+def _shared(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines by the hash they stand for: held (hash, content, among) of those that are in several
+    contents, with the number of contents; shared (hash) of these; and about (content, n, m, least,
+    next): the different lines of a content, how many are shared, and the least two hashes of those."""
+    said = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(_INK)), lambda x: F.xxhash64(x)))
+    d = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("content"), said.alias("said"))
+    rows = settle(d.select("content", F.size("said").alias("n"), F.explode("said").alias("hash")).groupBy("hash", "content").agg(F.first("n").alias("n")), "said")
+    shared = settle(rows.groupBy("hash").agg(F.count("*").alias("among")).where("among > 1"), "shared")
+    held = settle(rows.join(shared, "hash"), "held")
+    about = held.groupBy("content").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.slice(F.sort_array(F.collect_list("hash")), 1, 2).alias("two"))
+    about = settle(about.select("content", "n", "m", F.get("two", F.lit(0)).alias("least"), F.get("two", F.lit(1)).alias("next")), "about")
+    drop(rows)
+    return held.select("hash", "content", "among"), shared.select("hash"), about
+
+
+def _carried(rows: DataFrame, about: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """The keys with enough carriers, from rows (key, content, hash, is_shared)."""
+    others = F.col("m") - F.when(F.col("is_shared"), 1).otherwise(0)
+    group = F.when(F.col("is_shared") & (F.col("hash") == F.col("least")), F.col("next")).otherwise(F.col("least"))
+    carrier = F.when(2 * others < F.col("n") - 1, F.col("content")).otherwise(F.coalesce(group, "content"))
+    told = rows.join(about, "content", "left").select(key, F.coalesce(carrier, "content").alias("carrier"))
+    return told.groupBy(key, "carrier").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("carriers")).where(F.col("carriers") >= min_docs).select(key)
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(id, content, line_no, template): the lines to drop. `content` is xxhash64 of the text."""
+    """(id, content, line_no, template): the lines to drop, with a template that recurs or the line as
+    it is. `content` is xxhash64 of the text."""
+    held, _, about = _shared(docs, text)
+    literal = settle(_carried(held.where(F.col("among") >= min_docs).select("hash", "content", F.lit(True).alias("is_shared")), about, "hash", min_docs), "literal")
+    all_lines = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "template"))
+    said = settle(all_lines.withColumn("hash", F.xxhash64("template")).join(literal, "hash", "left_semi").select("id", "content", "line_no", "template"), "said")
     lines = _lines(docs, id_col, text, depth, min_tokens)
     leaves = _contents(lines, "leaf", min_docs).select("leaf")
     near = settle(lines.join(leaves, "leaf", "left_semi").withColumn("tokens", F.split("line", " ")).drop("line"), "lines")
@@ -87,11 +125,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     loose = spots.groupBy("leaf", "at", "token").agg(F.lit(1).alias("one")).groupBy("leaf", "at").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).groupBy("leaf").agg(F.collect_set("at").alias("loose"))
     shaped = near.join(loose, "leaf", "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<int>")))
     shaped = shaped.withColumn("shape", F.transform("tokens", lambda t, i: F.when(F.array_contains("loose", i), F.lit(VARIABLE)).otherwise(t)))
-    fixed = F.size(F.filter("shape", lambda t: t != VARIABLE))
-    shaped = settle(shaped.where(2 * fixed >= F.size("shape")).select("id", "content", "sketches", "line_no", F.concat_ws(" ", "shape").alias("template")).withColumn("leaf", F.xxhash64("template")), "shapes")
+    template = lambda c: F.when(2 * F.size(F.filter(c, lambda t: t != VARIABLE)) >= F.size(c), F.concat_ws(" ", c))
+    shaped = shaped.select("id", "content", "sketches", "line_no", "hash", F.explode(F.array_distinct(F.array_compact(F.array(template("shape"), template("tokens"))))).alias("template"))
+    shaped = settle(shaped.withColumn("leaf", F.xxhash64("template")), "shapes")
     again = _recurring(shaped, "leaf", min_docs)
-    out = settle(shaped.join(again, "leaf", "left_semi").select("id", "content", "line_no", "template"), "recurring")
-    drop(near, shaped)
+    found = shaped.join(again, "leaf", "left_semi").select("id", "content", "line_no", "template")
+    out = settle(found.unionByName(said).groupBy("id", "content", "line_no").agg(F.min("template").alias("template")), "recurring")
+    drop(near, shaped, said, literal)
     return out
 
 

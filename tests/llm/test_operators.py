@@ -329,6 +329,21 @@ def test_line_templates(spark):
             assert (x.n_dropped_lines, x.text) == (0, t)
 
 
+def test_lines_that_recur_literally(spark):
+    r = random.Random(4)
+    say = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(9))
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    again = "see all of the other fine pages that we have here for you"
+    codes = "11 22 33 44 call 55 66"
+    short = ["Menu", "版权所有"]
+    texts = ["\n".join([say(), say(), again, codes, *short, say(), say(), say(), say(), say()]) for _ in range(20)]
+    texts += [f"{say()}\nsee all of the " + " ".join(word() for _ in range(8)) + f"\n{say()}" for _ in range(40)]
+    out = {x.doc_id: x for x in line_templates.without_recurring_lines(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        kept = [x for x in t.split("\n") if k >= 20 or x not in (again, codes, *short)]
+        assert (out[k].text, out[k].n_dropped_lines) == ("\n".join(kept), 4 if k < 20 else 0)
+
+
 # 8 training order
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
