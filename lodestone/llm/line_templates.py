@@ -17,8 +17,8 @@ recurring line can have the smallest hash under one of them.
 As a large group of copies fails that share for lines that recur outside of it too, carriers are also
 counted: a document most of whose other lines are in no other document is a carrier of its own,
 one with more shared lines goes with those that have the same smallest hash among the shared ones, so
-that a group of copies is about one carrier whatever lines each adds. A literal line
-recurs if it has MIN_DOCS carriers. All lines that recur, or have a template that does, are
+that a group of copies is about one carrier whatever lines each adds. MIN_DOCS carriers are enough.
+A literal line recurs by this count alone. All lines that recur, or have a template that does, are
 dropped.
 
 Lines with fewer than MIN_TOKENS tokens have no template. Null texts stay null and empty texts empty; both
@@ -113,7 +113,7 @@ def _carried(rows: DataFrame, about: DataFrame, key: str, min_docs: int) -> Data
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, content, line_no, template): the lines to drop, with a template that recurs or the line as
     it is. `content` is xxhash64 of the text."""
-    held, _, about = _shared(docs, text)
+    held, shared, about = _shared(docs, text)
     literal = settle(_carried(held.where(F.col("among") >= min_docs).select("hash", "content", F.lit(True).alias("is_shared")), about, "hash", min_docs), "literal")
     all_lines = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "template"))
     said = settle(all_lines.withColumn("hash", F.xxhash64("template")).join(literal, "hash", "left_semi").select("id", "content", "line_no", "template"), "said")
@@ -128,7 +128,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     template = lambda c: F.when(2 * F.size(F.filter(c, lambda t: t != VARIABLE)) >= F.size(c), F.concat_ws(" ", c))
     shaped = shaped.select("id", "content", "sketches", "line_no", "hash", F.explode(F.array_distinct(F.array_compact(F.array(template("shape"), template("tokens"))))).alias("template"))
     shaped = settle(shaped.withColumn("leaf", F.xxhash64("template")), "shapes")
-    again = _recurring(shaped, "leaf", min_docs)
+    told = shaped.select("leaf", "content", "hash").distinct().join(shared.withColumn("is_shared", F.lit(True)), "hash", "left").withColumn("is_shared", F.coalesce("is_shared", F.lit(False)))
+    again = _recurring(shaped, "leaf", min_docs).unionByName(_carried(told, about, "leaf", min_docs)).distinct()
     found = shaped.join(again, "leaf", "left_semi").select("id", "content", "line_no", "template")
     out = settle(found.unionByName(said).groupBy("id", "content", "line_no").agg(F.min("template").alias("template")), "recurring")
     drop(near, shaped, said, literal)

@@ -344,6 +344,19 @@ def test_lines_that_recur_literally(spark):
         assert (out[k].text, out[k].n_dropped_lines) == ("\n".join(kept), 4 if k < 20 else 0)
 
 
+def test_lines_beside_a_group_of_copies(spark):
+    r = random.Random(5)
+    say = lambda: " ".join(f"u{r.randrange(10**6)}" for _ in range(9))
+    line, stamped = "All rights are reserved by us", "Number {} of all the rights reserved"
+    shared = [say() for _ in range(12)]
+    texts = ["\n".join([say(), say(), line, stamped.format(k), say(), say(), say()]) for k in range(20)]
+    texts += ["\n".join([*shared, line, stamped.format(100 + k), f"{word} end of it"]) for k, word in enumerate("".join(r.choice("abcdef") for _ in range(9)) for _ in range(150))]
+    out = {x.doc_id: x for x in line_templates.without_recurring_lines(docs(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert not {line} & set(out[k].text.split("\n")) and "Number" not in out[k].text
+        assert k < 20 or out[k].text.split("\n")[:12] == shared
+
+
 # 8 training order
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
