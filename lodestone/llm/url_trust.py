@@ -8,7 +8,8 @@ Hosts are joined by edges: links in the pages to other hosts, and both ways betw
 nearest host above it (its domain without leading labels) that has pages. Two personalised PageRanks
 run at once: trust from the trusted seeds along the edges, distrust from the blocked seeds against
 them (a host that links to bad hosts is suspect). What a host without edges would pass on, and the
-restart, return to the seeds. A host is blocked if its share of all distrust is more than its share
+restart, return to the seeds. The ranks are iterated until those of all hosts have settled and no
+host is reached anew, however long the chains of links are. A host is blocked if its share of all distrust is more than its share
 of all trust times `threshold`; pages that no rule fits get their host's verdict.
 
 Null URLs and URLs without "://" have an empty host and path; no rule fits them and they are
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.tables import drop, settle
 
 STEPS, DAMPING, THRESHOLD = 10, 0.85, 1.0
+#: Steps between two looks at the change, and the largest change of a host's rank, as a share of it, that ends.
+ROUND, SETTLED = 8, 1e-9
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,8 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
 
 def spread(seeds: DataFrame, edges: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
     """(kind, host, rank): personalised PageRank for each kind of seed, from seeds (kind, host, seed)
-    that sum up to 1 per kind and edges (kind, src, dst, p) whose p sum up to 1 per kind and src."""
+    that sum up to 1 per kind and edges (kind, src, dst, p) whose p sum up to 1 per kind and src, after
+    a given number of steps; `fixed_point` has what they lead to."""
     edges = settle(edges, "edges")
     seeds = settle(seeds, "seeds")
     out = edges.select("kind", F.col("src").alias("host")).distinct().withColumn("flows", F.lit(True))
@@ -94,6 +98,29 @@ def spread(seeds: DataFrame, edges: DataFrame, steps: int = STEPS, damping: floa
     return rank
 
 
+def fixed_point(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, rank): where `spread` leads to. What returns to the seeds only scales all ranks of a
+    kind, so these are y = seed + damping * (y moved along the edges), divided by their sum. From
+    y = seed on, no host's y falls, and the sum of what a step adds shrinks by `damping` at least."""
+    edges = settle(edges, "edges")
+    seeds = settle(seeds.select("kind", "host", F.col("seed").alias("rank")), "seeds")
+    rank, moving = seeds, True
+    while moving:
+        now = rank
+        for _ in range(ROUND):
+            moved = now.join(edges, (now.host == edges.src) & (now.kind == edges.kind)).select(now.kind, F.col("dst").alias("host"), (damping * F.col("rank") * F.col("p")).alias("rank"))
+            now = moved.unionByName(seeds).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        now = settle(now, "rank")
+        was = rank.withColumnRenamed("rank", "was")
+        change = F.col("rank") - F.coalesce("was", F.lit(0.0))
+        moving = bool(now.join(was, ["kind", "host"], "left").where(change > SETTLED * F.col("rank")).limit(1).count())
+        if rank is not seeds:
+            drop(rank)
+        rank = now
+    sums = rank.groupBy("kind").agg(F.sum("rank").alias("all"))
+    return rank.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
+
+
 def judge(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page."""
     named = with_host(pages.select(id_col, url, html), url)
@@ -105,7 +132,7 @@ def judge(pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url:
     edges = host_edges(named, html)
     both = edges.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("src"), F.col("dst"), F.col("w")), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w")))).alias("e")).select("e.*")
     weights = both.groupBy("kind", "src").agg(F.sum("w").alias("all"))
-    rank = spread(seeds, both.join(weights, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("p")))
+    rank = fixed_point(seeds, both.join(weights, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("p")))
     scores = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     out = judged.join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     rest = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")

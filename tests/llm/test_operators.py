@@ -406,6 +406,27 @@ def test_page_rank_against_numpy(spark):
     assert all(math.isclose(got.get(k, 0.0), v, abs_tol=1e-12) for k, v in zip(names, x, strict=True))
 
 
+def test_trust_reaches_a_fixed_point(spark):
+    edges = [("trust", "a", "b", 0.5), ("trust", "a", "c", 0.5), ("trust", "b", "c", 1.0), ("trust", "d", "a", 1.0), ("trust", "c", "h0", 1.0)] + [("trust", f"h{k}", f"h{k + 1}", 1.0) for k in range(20)]
+    got = {r.host: r["rank"] for r in url_trust.fixed_point(spark.createDataFrame([("trust", "a", 0.75), ("trust", "d", 0.25)], "kind string, host string, seed double"), spark.createDataFrame(edges, "kind string, src string, dst string, p double")).collect()}
+    names = [*"abcd", *(f"h{k}" for k in range(21))]
+    m = np.zeros((25, 25))
+    for _, s, t, p in edges:
+        m[names.index(t), names.index(s)] = p
+    seed = np.zeros(25)
+    seed[0], seed[3] = 0.75, 0.25
+    back = np.where(m.sum(axis=0) > 0, 0.15, 1.0)
+    x = np.linalg.solve(np.vstack([(np.eye(25) - 0.85 * m - np.outer(seed, back))[:-1], np.ones(25)]), np.eye(25)[-1])
+    assert len(got) == 25 and all(math.isclose(got[k], v, rel_tol=1e-7) for k, v in zip(names, x, strict=True))
+
+
+def test_spam_at_the_end_of_a_long_chain(spark):
+    link = lambda h: f'<a href="http://{h}/q">x</a>'
+    rows = [(0, "http://bad.org/", "")] + [(k, f"http://h{k}.net/", link(f"h{k - 1}.net" if k > 1 else "bad.org")) for k in range(1, 15)]
+    got = url_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [url_trust.UrlRule("block", "bad.org", "/")]).collect()
+    assert len(got) == 15 and {r.verdict for r in got} == {"block"}
+
+
 # 10 language model
 def test_base_scores(spark, table, texts):
     got = {r.doc_id: r for r in bilinear.score(table, vocab=20, head=50).collect()}
