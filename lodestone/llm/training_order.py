@@ -7,8 +7,8 @@ holds all sequence numbers, walked along its cycles until the value is in range,
 it gives every sequence its slot in training order without a sort or a table. Slots are dealt out
 in ranges, one for each shard, and each range is written as one file of fixed stride: slot s starts
 at byte (s - first slot) * stride of its shard, so readers can seek, read on sequentially and resume
-from a slot number. Writing a shard again gives the same bytes; shards that are there in full size
-are skipped.
+from a slot number. Writing a shard again gives the same bytes; shards that are there with the same
+bytes are skipped.
 
 Null and empty texts give one end token. Token ids take two bytes each, little-endian. Other columns
 are ignored. An empty table has no sequences and no shards.
@@ -145,11 +145,19 @@ def sequences(docs: DataFrame, path: str, pattern: str, end: int, key: int, text
     return dealt.mapInArrow(join, "slot long, sequence long, shard long, byte_offset long, n_tokens long, payload binary")
 
 
+def _digest(store, name: str) -> str:
+    found = hashlib.sha256()
+    with store.open_input_stream(name) as f:
+        while part := f.read(1 << 20):
+            found.update(part)
+    return found.hexdigest()
+
+
 def write_shards(rows: DataFrame, folder: str, length: int = LENGTH, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """Write the output of `sequences` as files shard-00000000.bin and so on below `folder` (a URI
     that all executors reach) and return one row per shard: shard, first_slot, n_slots, bytes,
     sha256, skipped. Each range partition writes its own shard under a passing name and then
-    renames it; a shard that is there in full size is not written again."""
+    renames it; a shard that is there with the same bytes is not replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -173,7 +181,7 @@ def write_shards(rows: DataFrame, folder: str, length: int = LENGTH, per_shard:
         if shard is not None:
             out.close()
             there = store.get_file_info(name)
-            skipped = there.type == fs.FileType.File and there.size == n * 2 * length
+            skipped = there.type == fs.FileType.File and there.size == n * 2 * length and _digest(store, name) == digest.hexdigest()
             if skipped:
                 store.delete_file(temp)
             else:

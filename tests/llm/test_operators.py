@@ -382,6 +382,15 @@ def test_shards(spark, table, texts, tmp_path):
     assert training_order.write_shards(rows, f"file://{tmp_path}", length=16, per_shard=10).where("not skipped").count() == 0
 
 
+def test_stale_shards_are_replaced(spark, tmp_path):
+    schema = "slot long, sequence long, shard long, byte_offset long, n_tokens long, payload binary"
+    for payload, skipped in ((b"ab", False), (b"cd", False), (b"cd", True)):
+        rows = spark.createDataFrame([(0, 0, 0, 0, 1, payload)], schema).coalesce(1)
+        made = training_order.write_shards(rows, f"file://{tmp_path}", length=1, per_shard=1).collect()
+        assert [m.skipped for m in made] == [skipped]
+        assert (tmp_path / "shard-00000000.bin").read_bytes() == payload
+
+
 # 9 URL filters
 def test_url_rules_and_trust(spark):
     rules = [url_trust.UrlRule("block", "com", "/en/"), url_trust.UrlRule("allow", "example.com", "/en/7"), url_trust.UrlRule("block", "bad.org", "/"), url_trust.UrlRule("allow", "good.org", "/")]
