@@ -8,21 +8,22 @@ one with the smallest hash is the window's anchor; neighbouring windows with the
 run. Equal windows have the same anchor at the same place, so only runs with the same anchor need to
 be compared.
 
-1. Anchors that occur in two or more documents are found by one shuffle of (anchor, id).
-2. The runs of these anchors, as hashes of their bytes, are gathered. A run that equals one of a
-   document with a smaller id is removed whole.
-3. What is left are anchors around which different runs occur, at the ends of repeated passages. The
-   bytes of each such run, from the first document that has it, go to the task of their anchor,
-   which builds a suffix array over all its runs by two-stage sorting: only the suffixes that are
-   smaller than their successors are sorted directly (as far as LENGTH bytes decide), the others are
-   induced by scanning the buckets of first bytes in order. Neighbours with a common prefix of
-   LENGTH bytes or more form a class; windows of documents other than the class's smallest id are
-   removed.
-
-An anchor with more than CROWD runs is not given to one task: its windows are hashed and grouped by
-Spark instead. Null and empty texts, and texts shorter than LENGTH, lose nothing. Rows that repeat
-an id count as one document, and each row is cleaned by itself. Hashes have 64 bits. Other columns
-are ignored.
+1. Each task finds the runs of its texts. A run that equals one of a smaller id in the same piece of
+   the task is removed there and does not travel, so a passage that very many documents share sends
+   one row per piece. The others go to the task of their anchor, packed as byte columns.
+2. There, anchors of a single document are left out. A run that equals one of a smaller id is removed
+   whole. What is left are anchors around which different runs occur, at the ends of repeated passages.
+3. The bytes of each such run are cut out of its text and go to the task of their anchor, which builds
+   a suffix array over all its runs by two-stage sorting: only the suffixes that are smaller than
+   their successors are sorted directly (as far as LENGTH bytes decide), the others are induced by
+   scanning the buckets of first bytes in order. Neighbours with a common prefix of LENGTH bytes or
+   more form a class; windows of documents other than the class's smallest id are removed.
+
+The runs of an anchor with more than PART_RUNS of them are dealt to several tasks: each of their
+windows goes to the part that its hash names, so that equal windows meet, and each part is sorted in
+the same way. Null and empty texts, texts shorter than LENGTH and rows with a null id lose nothing;
+texts of rows with a null id count for no one else either. Rows that repeat an id count as one
+document, and each row is cleaned by itself. Hashes have 64 bits. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import drop, parts, settle, tidy
+from lodestone.llm.tables import parts, settle, tidy
 from lodestone.llm.textkit import _power, mix, signed, slices
 
 LENGTH, K = 50, 24
-#: Runs of one anchor that one task compares; bytes of runs in one suffix array.
-CROWD, ARRAY_BYTES = 50_000, 1 << 20
+#: Runs of one anchor that one task compares before they are dealt to parts; bytes of one suffix array.
+PART_RUNS, ARRAY_BYTES = 20_000, 1 << 20
+#: Bytes of text whose runs are packed together.
+PIECE_BYTES = 8 << 20
 
 
 def _windows_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -209,150 +213,316 @@ def _spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1] + LENGTH
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, content, start, end) of byte ranges to remove, which may overlap; `content` is xxhash64
-    of the text and tells rows with the same id apart."""
-    spark = docs.sparkSession
-    p = parts(spark)
-    d = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text) >= LENGTH)).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+#: Packed columns: where a span of a row is, and what a run or a need has besides.
+SPAN = {"id": np.int64, "content": np.int32, "start": np.int32, "end": np.int32}
+RUN = {"h": np.uint64, "run": np.uint64, "id": np.int64, "content": np.int32, "start": np.int32, "size": np.uint8}
+NEED = {"h": np.uint64, "k": np.int32, **SPAN}
+_KINDS = {"span": SPAN, "run": RUN, "need": NEED}
+_PACKED = "bucket int, kind string, data binary"
+
+
+def _pack(bucket: np.ndarray, kind: str, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket: the columns' values of its rows, one column after the other."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    sorted_cols = [np.ascontiguousarray(cols[c][order].astype(t, copy=False)) for c, t in _KINDS[kind].items()]
+    data = [b"".join(x[a:b].tobytes() for x in sorted_cols) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([kind] * len(data), pa.string()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
+
+
+def _unpack(kind: str, blobs: list[bytes]) -> dict[str, np.ndarray]:
+    kinds = {c: np.dtype(t) for c, t in _KINDS[kind].items()}
+    width = sum(t.itemsize for t in kinds.values())
+    out: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
+    for raw in blobs:
+        n, at = len(raw) // width, 0
+        for c, t in kinds.items():
+            out[c].append(np.frombuffer(raw, dtype=t, count=n, offset=at))
+            at += n * t.itemsize
+    return {c: np.concatenate(x) if x else np.zeros(0, kinds[c]) for c, x in out.items()}
+
+
+def _home(ids: np.ndarray, content: np.ndarray, p: int) -> np.ndarray:
+    """The bucket of a row's text."""
+    return ((ids ^ content.astype(np.int64)) % p).astype(np.int32)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.asarray(b.column(0))
-            for row, data, bounds in slices(b.column(1)):
-                h, _, _, doc = runs(data, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ids[row + doc])], names=["h", "id"])
 
-    dealt = d.mapInArrow(anchors, "h long, id long").repartition(p, "h")
-    shared = dealt.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
-    marks = settle(dealt.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs")), "marks")
-    del dealt, shared
-    tidy(spark)
+def _merged(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans of the same row that touch or overlap as one."""
+    if not len(c["id"]):
+        return c
+    order = np.lexsort([c["start"], c["content"], c["id"]])
+    i, t, s, e = (c[k][order] for k in SPAN)
+    row = np.cumsum(np.concatenate([[0], ((i[1:] != i[:-1]) | (t[1:] != t[:-1])).astype(np.int64)]))
+    reach = np.maximum.accumulate(row * (1 << 33) + e) - row * (1 << 33)
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (s[1:] > reach[:-1])]))
+    return {"id": i[new], "content": t[new], "start": s[new], "end": reach[np.concatenate([new[1:] - 1, [len(i) - 1]])].astype(np.int32)}
+
+
+def _taken(c: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[at] for k, v in c.items()}
+
+
+def _spans_of(c: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    """The spans of some runs."""
+    start = c["start"][at]
+    return {"id": c["id"][at], "content": c["content"][at], "start": start, "end": start + c["size"][at].astype(np.int32)}
+
+
+def _local(c: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Runs that travel, and spans of those that equal a run of a smaller id among these."""
+    order = np.lexsort([c["id"], c["run"], c["h"]])
+    h, run, ids = c["h"][order], c["run"][order], c["id"][order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (run[1:] != run[:-1])])
+    first = ids[np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
+    gone = ids > first
+    return _taken(c, np.sort(order[~gone])), _merged(_spans_of(c, order[gone]))
+
+
+def _found_runs(p: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            c = {k: np.concatenate([x[k] for x in held]) for k in RUN}
+            held.clear()
+            if len(c["h"]):
+                c, spans = _local(c)
+                yield _pack((c["h"] % np.uint64(p)).astype(np.int32), "run", c)
+                if len(spans["id"]):
+                    yield _pack(_home(spans["id"], spans["content"], p), "span", spans)
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, content = np.asarray(b.column(0)), np.asarray(b.column(2))
-            hs = b.column(3)
-            off, flat = np.asarray(hs.offsets), np.asarray(hs.values).view(np.uint64)
             for row, data, bounds in slices(b.column(1)):
                 h, first, last, doc = runs(data, bounds)
-                n = len(bounds) - 1
-                mine = flat[off[row] : off[row + n]]
-                which = np.repeat(np.arange(n), np.diff(off[row : row + n + 1]))
-                known = np.sort(mix(mine + np.uint64(11)) ^ mix(which.astype(np.uint64)))
-                key = mix(h + np.uint64(11)) ^ mix(doc.astype(np.uint64))
-                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                keep = known[at] == key if len(known) else np.zeros(len(key), bool)
-                h, first, last, doc = h[keep], first[keep], last[keep], doc[keep]
-                rh = _hashes(data, first, last + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(rh)), pa.array(ids[row + doc]), pa.array(content[row + doc]), pa.array(first - bounds[doc]), pa.array((last - first + 1).astype(np.int32))], names=["h", "run", "id", "content", "start", "windows"])
-
-    texts = d.withColumn("content", F.xxhash64("text"))
-    found = settle(texts.join(marks, "id").select("id", "text", "content", "hs").mapInArrow(marked, "h long, run long, id long, content long, start long, windows int"), "runs")
-    drop(marks)
-    tidy(spark)
-    firsts = settle(found.groupBy("h", "run").agg(F.min("id").alias("first")), "firsts")
-    crowd = firsts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    later = found.join(firsts, ["h", "run"]).where("id > first").select("id", "content", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
-    later = settle(later, "later")
-    need = firsts.join(crowd, "h").join(found, ["h", "run"]).where("id = first")
-    need = need.groupBy("id", "content").agg(F.collect_list(F.struct("start", "windows", "h", "k")).alias("cuts"))
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, k, ids, content, start, raw = [], [], [], [], [], []
-            for i, t, c, cuts in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                whole = t.encode()
-                for x in cuts:
-                    h.append(x["h"])
-                    k.append(x["k"])
-                    ids.append(i)
-                    content.append(c)
-                    start.append(x["start"])
-                    raw.append(whole[x["start"] : x["start"] + x["windows"] + LENGTH - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(ids, pa.int64()), pa.array(content, pa.int64()), pa.array(start, pa.int64()), pa.array(raw, pa.binary())], names=["h", "k", "id", "content", "start", "bytes"])
-
-    contexts = settle(texts.join(need, ["id", "content"]).select("id", "text", "content", "cuts").mapInArrow(cut_out, "h long, k long, id long, content long, start long, bytes binary"), "contexts")
-    drop(found, firsts)
-    tidy(spark)
-    spans = "id long, content long, start long, end long"
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+                held.append({"h": h, "run": _hashes(data, first, last + LENGTH), "id": ids[row + doc], "content": content[row + doc], "start": (first - bounds[doc]).astype(np.int32), "size": (last + LENGTH - first).astype(np.uint8)})
+                size += len(data)
+                if size >= PIECE_BYTES:
+                    yield from packed()
+                    size = 0
+        if held:
+            yield from packed()
 
-        def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(rows)
-            ids, content, start = (np.asarray(t[c]) for c in ("id", "content", "start"))
-            out: list[tuple] = []
-            for k, at in enumerate(repeated_windows(t["bytes"].to_pylist(), ids)):
-                a, b = _spans(at)
-                out.extend((ids[k], content[k], start[k] + x, start[k] + y) for x, y in zip(a, b, strict=True))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "content", "start", "end"])
+    return run
 
-        size = 0
+
+def _compared_runs(p: int):
+    """From the packed runs of a bucket of anchors: spans of runs that equal one of a smaller id, and
+    the runs whose anchor has different ones, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
         for b in batches:
-            h = np.asarray(b.column(0))
-            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if x == y:
-                    continue
-                if size >= ARRAY_BYTES and held and held[-1].column(0)[-1].as_py() != h[x]:
-                    yield done(held)
-                    held, size = [], 0
-                held.append(b.slice(x, y - x))
-                size += held[-1].column(5).nbytes
-        if held:
-            yield done(held)
+            mine = np.asarray(b.column(1).to_pylist()) == "run"
+            blobs += [x for x, m in zip(b.column(2).to_pylist(), mine, strict=True) if m]
+            if not mine.all():
+                yield b.filter(pa.array(~mine))
+        c = _unpack("run", blobs)
+        del blobs
+        if not len(c["h"]):
+            return
+        h = np.sort(c["h"])
+        twice = np.unique(h[1:][h[1:] == h[:-1]])
+        if not len(twice):
+            return
+        at = np.minimum(np.searchsorted(twice, c["h"]), len(twice) - 1)
+        c = _taken(c, np.flatnonzero(twice[at] == c["h"]))
+        c = _taken(c, np.lexsort([c["id"], c["run"], c["h"]]))
+        anchor = np.concatenate([[True], c["h"][1:] != c["h"][:-1]])
+        kind = anchor | np.concatenate([[True], c["run"][1:] != c["run"][:-1]])
+        first = c["id"][np.maximum.accumulate(np.where(kind, np.arange(len(kind)), 0))]
+        gone = c["id"] > first
+        spans = _merged(_spans_of(c, np.flatnonzero(gone)))
+        if len(spans["id"]):
+            yield _pack(_home(spans["id"], spans["content"], p), "span", spans)
+        cut = np.flatnonzero(anchor)
+        number = np.cumsum(anchor) - 1
+        kinds = np.add.reduceat(kind.astype(np.int64), cut)
+        low, high = np.minimum.reduceat(first, cut), np.maximum.reduceat(first, cut)
+        open_ = np.flatnonzero(~gone & ((kinds > 1) & (low < high))[number])
+        need = {"h": c["h"][open_], "k": kinds[number[open_]], **_spans_of(c, open_)}
+        if len(need["id"]):
+            yield _pack(_home(need["id"], need["content"], p), "need", need)
+
+    return run
+
+
+def _text_rows(docs: DataFrame, id_col: str, text: str, p: int) -> DataFrame:
+    """(own, id, content, text, bucket) of every row; `content` is a hash of the text and tells rows
+    with the same id apart."""
+    d = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.hash(text).alias("content"), F.col(text).alias("text"))
+    return d.withColumn("bucket", F.pmod(F.coalesce("id", F.lit(0).cast("long")).bitwiseXOR(F.col("content").cast("long")), F.lit(p)).cast("int"))
+
+
+def _beside(texts: DataFrame, packed: DataFrame, p: int) -> DataFrame:
+    """The rows of both by bucket, a bucket's packed rows before its texts."""
+    both = packed.unionByName(texts.withColumn("kind", F.lit("text")), allowMissingColumns=True)
+    return both.repartitionById(p, "bucket").sortWithinPartitions("kind").select("kind", "data", "own", "id", "content", "text")
+
+
+class _Held:
+    """Packed rows of a bucket by the row they belong to."""
+
+    def __init__(self, kind: str, blobs: list[bytes]):
+        c = _unpack(kind, blobs)
+        order = np.lexsort([c["start"], c["content"], c["id"]])
+        self.c = _taken(c, order)
+        i, t = self.c["id"], self.c["content"]
+        cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])) if len(i) else np.zeros(0, np.int64)
+        self.at = {(x, y): (a, b) for x, y, a, b in zip(i[cut].tolist(), t[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(i)], strict=False)}
+
+    def of(self, id_: int | None, content: int) -> tuple[int, int]:
+        return self.at.get((id_, content), (0, 0))
+
+
+def _split(b: pa.RecordBatch) -> tuple[list[bytes], pa.RecordBatch]:
+    """The packed data of a batch, and its text rows."""
+    texts = np.asarray(b.column(0).to_pylist()) == "text" if b.num_rows else np.zeros(0, bool)
+    return b.column(1).filter(pa.array(~texts)).to_pylist(), b.filter(pa.array(texts))
+
+
+_CONTEXT = "g long, id long, content int, start int, bytes binary"
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of needed runs, by anchor; those of an anchor with many runs window by window."""
+    blobs: list[bytes] = []
+    held: _Held | None = None
+    for b in batches:
+        packed, rows = _split(b)
+        blobs += packed
+        if not rows.num_rows:
+            continue
+        if held is None:
+            held, blobs = _Held("need", blobs), []
+        g: list[np.ndarray] = []
+        at: list[np.ndarray] = []
+        who: list[tuple[int, int, int]] = []
+        raw: list[bytes] = []
+        for id_, content, t in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5), strict=True):
+            x, y = held.of(id_, content)
+            if x == y:
+                continue
+            whole = t.as_buffer().to_pybytes()
+            h, k, start, end = (held.c[c][x:y] for c in ("h", "k", "start", "end"))
+            many = k > PART_RUNS
+            few = np.flatnonzero(~many)
+            raw += [whole[s:e] for s, e in zip(start[few].tolist(), end[few].tolist(), strict=True)]
+            g.append(h[few])
+            at.append(start[few])
+            who.append((id_, content, len(few)))
+            for j in np.flatnonzero(many).tolist():
+                w = np.arange(start[j], end[j] - LENGTH + 1)
+                part = _hashes(np.frombuffer(whole, dtype=np.uint8), w, w + LENGTH) % np.uint64(1 + k[j] * 32 // PART_RUNS)
+                raw += [whole[s : s + LENGTH] for s in w.tolist()]
+                g.append(mix(part ^ h[j]))
+                at.append(w)
+                who.append((id_, content, len(w)))
+        if raw:
+            n = [x for _, _, x in who]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(g))), pa.array(np.repeat(np.array([x for x, _, _ in who], dtype=np.int64), n)), pa.array(np.repeat(np.array([x for _, x, _ in who], dtype=np.int32), n)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(raw, pa.binary())], names=["g", "id", "content", "start", "bytes"])
+
+
+def _sorted_contexts(p: int):
+    """Spans of windows that also occur with a smaller id, from contexts sorted by g."""
+
+    def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(rows)
+        ids, content, start = (np.asarray(t[c]) for c in ("id", "content", "start"))
+        hits = repeated_windows(t["bytes"].to_pylist(), ids)
+        spans = [_spans(at) for at in hits]
+        n = [len(a) for a, _ in spans]
+        if not sum(n):
+            return None
+        who = np.repeat(np.arange(len(ids)), n)
+        begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+        c = _merged({"id": ids[who], "content": content[who], "start": (start[who] + begin).astype(np.int32), "end": (start[who] + end).astype(np.int32)})
+        return _pack(_home(c["id"], c["content"], p), "span", c)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for b in batches:
-            for i, c, s, raw in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                data = np.frombuffer(raw, dtype=np.uint8)
-                at = np.arange(len(data) - LENGTH + 1)
-                w = _hashes(data, at, at + LENGTH)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(np.full(n, i)), pa.array(np.full(n, c)), pa.array(s + at)], names=["w", "id", "content", "start"])
-
-    few = contexts.where(F.col("k") <= CROWD).repartition(p, "h").sortWithinPartitions("h").mapInArrow(compare, spans)
-    many = contexts.where(F.col("k") > CROWD).mapInArrow(spread, "w long, id long, content long, start long")
-    least = many.groupBy("w").agg(F.min("id").alias("first"))
-    crowded = many.join(least, "w").where("id > first").select("id", "content", "start", (F.col("start") + LENGTH).alias("end"))
-    out = settle(later.unionByName(few).unionByName(crowded), "spans")
-    drop(later, contexts)
-    tidy(spark)
-    return out
+            if not b.num_rows:
+                continue
+            g = np.asarray(b.column(0))
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            # whole groups go into an array until it has ARRAY_BYTES
+            total = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(b.column(4))))])
+            begin = 0
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                fresh = g[x] != last
+                if fresh and size >= ARRAY_BYTES:
+                    if x > begin:
+                        held.append(b.slice(begin, x - begin))
+                    if (out := done(held)) is not None:
+                        yield out
+                    held, size, begin = [], 0, x
+                size += int(total[y] - total[x])
+                last = g[x]
+            held.append(b.slice(begin))
+        if held and (out := done(held)) is not None:
+            yield out
+
+    return run
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(bucket, kind, data): packed spans of byte ranges to remove, which may overlap."""
+    p = parts(docs.sparkSession)
+    texts = _text_rows(docs, id_col, text, p).where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    found = texts.select("id", "text", "content").mapInArrow(_found_runs(p), _PACKED).repartitionById(p, "bucket")
+    marks = settle(found.mapInArrow(_compared_runs(p), _PACKED), "marks")
+    del found
+    tidy(docs.sparkSession)
+    contexts = _beside(texts, marks.where("kind = 'need'"), p).mapInArrow(_cut_out, _CONTEXT)
+    sorted_ = contexts.repartition(p, "g").sortWithinPartitions("g").mapInArrow(_sorted_contexts(p), _PACKED)
+    more = settle(sorted_, "spans")
+    del contexts, sorted_
+    tidy(docs.sparkSession)
+    return marks.where("kind = 'span'").unionByName(more)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256; with `keep_text` also the remaining bytes as `kept` (binary: a cut may fall inside
     a character)."""
-    spans = removals(docs, id_col, text).groupBy(F.col("id").alias("__id"), F.col("content").alias("__content")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    p = parts(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    both = docs.select(F.col(id_col).alias("__own"), F.col(text).alias("text"), F.xxhash64(text).alias("__text")).join(spans, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__content")), "left").select("__own", "text", "spans")
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        held: _Held | None = None
         for b in batches:
+            packed, rows = _split(b)
+            blobs += packed
+            if not rows.num_rows:
+                continue
+            if held is None:
+                held, blobs = _Held("span", blobs), []
             size, gone, count, digest, kept = [], [], [], [], []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for id_, content, t in zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(5).to_pylist(), strict=True):
                 raw = (t or "").encode()
-                pieces, at, n = [], 0, 0
-                stop = -1
-                for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                    if s[0] > stop:
+                pieces, at, n, stop = [], 0, 0, -1
+                x, y = held.of(id_, content)
+                for s, e in zip(held.c["start"][x:y].tolist(), held.c["end"][x:y].tolist(), strict=True):
+                    if s > stop:
                         n += 1
-                        pieces.append(raw[at : s[0]])
-                    stop = max(stop, s[1])
-                    at = stop
+                        pieces.append(raw[at:s])
+                    at = stop = max(stop, e)
                 pieces.append(raw[at:])
                 rest = b"".join(pieces)
                 size.append(len(raw))
                 gone.append(len(raw) - len(rest))
                 count.append(n)
                 digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            out = [b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.binary())] if keep_text else [])], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])])
+                kept.append(rest if keep_text else b"")
+            out = [rows.column(2), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.binary())] if keep_text else [])], names=names)
 
+    both = _beside(_text_rows(docs, id_col, text, p), removals(docs, id_col, text), p)
     return both.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))

@@ -197,9 +197,9 @@ def test_suffix_dedup(spark, table, texts):
     assert got == brute_removed(texts)
 
 
-@pytest.mark.parametrize("crowd", [1, 50_000])
+@pytest.mark.parametrize("crowd", [1, 20_000])
 def test_suffix_dedup_of_passages(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "PART_RUNS", crowd)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
     parts = [" ".join(word() for _ in range(r.randint(12, 60))) for _ in range(6)]
