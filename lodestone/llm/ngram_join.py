@@ -21,7 +21,8 @@ bounded size, so no task holds an unbounded group; each pair of tiles is a task
 
 Null, empty and white-space texts have an empty set, link with nothing and are their own class;
 texts with fewer words than a shingle have their whole sequence as one shingle. Rows that repeat an
-id count as one document with the union of their links: the result has one row for each row.
+id count as one document with the union of their links: the result has one row for each row. A row
+with a null id has the class of its text if a row with an id has the same set, else none (null).
 Hashes have 64 bits. Other columns are ignored, so names cannot clash.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.tables import components, drop, parts, settle, tidy
-from lodestone.llm.textkit import groups, lists, mix, signed, words_of
+from lodestone.llm.textkit import PACKED, groups, lists, mix, pack, signed, unpack, words_of
 
 #: Rounds in which each text is compared with one pivot of its nodes.
 PIVOTS = 4
@@ -72,15 +73,15 @@ class Threshold:
         return (0, 0) if differ <= 0 else (differ + 1 + spare, spare)
 
 
-def _sets(texts, width: int) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingle hashes."""
-    for _, w in words_of(texts):
+def _sets(texts, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The sorted distinct shingle hashes of each text, a slice of texts at a time so that a task holds
+    no more than a few megabytes of them: (first row, sets)."""
+    for row, w in words_of(texts):
         h, doc = w.shingles(width)
         order = np.argsort(doc, kind="stable")
         bounds = np.searchsorted(doc[order], np.arange(len(w.count) + 1))
         h = h[order]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield np.unique(h[a:b])
+        yield row, [np.unique(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _digest(s: np.ndarray) -> np.uint64:
@@ -119,8 +120,13 @@ def _keys(s: np.ndarray, rule: Threshold, bands: np.ndarray, cache: dict) -> np.
 
 
 def _points(s: np.ndarray) -> bytes:
+    """Counts per group, two bytes each, or four if one needs more."""
     counts = np.bincount((mix(s + np.uint64(7)) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return counts.astype(np.uint16).clip(0, 65535).tobytes()
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _point_table(points: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, dtype=np.uint16 if len(p) == 2 * GROUPS else np.uint32) for p in points]).astype(np.int64)
 
 
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -132,33 +138,78 @@ def named_sets(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node = [], []
-            for s in _sets(b.column(1), width):
-                n.append(len(s))
-                node.append(_digest(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(node, dtype=np.uint64)))], names=["id", "n", "node"])
+            for row, sets in _sets(b.column(1), width):
+                node = np.array([_digest(s) for s in sets], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(node))], names=["id", "n", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return _texts(docs, id_col, text).mapInArrow(run, f"id {kind}, n long, node long")
 
 
-def directory(docs: DataFrame, id_col: str, text: str, width: int, rule: Threshold) -> DataFrame:
-    """Per row with a set: node and keys (array<long>). Taken from the texts anew rather than kept
-    with `named_sets`, as the keys are as large as the texts."""
+#: Bytes of a task's directory keys that are packed together.
+PIECE = 16 << 20
+_ENTRY = {"key": np.uint64, "node": np.uint64}
+
+
+def directory(docs: DataFrame, id_col: str, text: str, width: int, rule: Threshold, p: int) -> DataFrame:
+    """(key, node): the directory nodes with two or more different sets, and these. Taken from the texts
+    anew rather than kept with `named_sets`, as the keys are as large as the texts; they travel packed
+    by bucket, pairs that come twice within a piece only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, cache = rule.bands(1 << 12), {}
-        for b in batches:
-            node, keys = [], []
-            for s in _sets(b.column(0), width):
-                while len(s) >= bands[-1]:
-                    bands = rule.bands(int(bands[-1]) * 2)
-                if len(s):
-                    node.append(_digest(s))
-                    keys.append(_keys(s, rule, bands, cache))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(node, dtype=np.uint64))), lists(signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64), np.array([len(k) for k in keys]), pa.int64())], names=["node", "keys"])
+        keys: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            k, n = np.concatenate(keys), np.concatenate(nodes)
+            keys.clear()
+            nodes.clear()
+            order = np.lexsort([n, k])
+            k, n = k[order], n[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+            k, n = k[new], n[new]
+            return pack((k % np.uint64(p)).astype(np.int32), "", [k, n])
 
-    return _texts(docs, id_col, text).select("text").mapInArrow(run, "node long, keys array<long>")
+        for b in batches:
+            for _, sets in _sets(b.column(0), width):
+                for s in sets:
+                    while len(s) >= bands[-1]:
+                        bands = rule.bands(int(bands[-1]) * 2)
+                    if len(s):
+                        keys.append(_keys(s, rule, bands, cache))
+                        nodes.append(np.full(len(keys[-1]), _digest(s)))
+                        size += 16 * len(keys[-1])
+                if size >= PIECE:
+                    yield packed()
+                    size = 0
+        if size:
+            yield packed()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for b in batches for x in b.column(2).to_pylist()]
+        c = unpack(_ENTRY, blobs)
+        del blobs
+        k = np.sort(c["key"])
+        twice = np.unique(k[1:][k[1:] == k[:-1]])
+        if not len(twice):
+            return
+        at = np.minimum(np.searchsorted(twice, c["key"]), len(twice) - 1)
+        mine = np.flatnonzero(twice[at] == c["key"])
+        k, n = c["key"][mine], c["node"][mine]
+        order = np.lexsort([n, k])
+        k, n = k[order], n[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+        k, n = k[new], n[new]
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        cut = np.flatnonzero(first)
+        several = np.repeat(np.diff([*cut, len(k)]) > 1, np.diff([*cut, len(k)]))
+        k, n = k[several], n[several]
+        for at in range(0, len(k), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k[at : at + (1 << 16)])), pa.array(signed(n[at : at + (1 << 16)]))], names=["key", "node"])
+
+    return _texts(docs, id_col, text).select("text").mapInArrow(run, PACKED).repartitionById(p, "bucket").mapInArrow(shared, "key long, node long")
 
 
 def _whole_sets(need: DataFrame, docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -167,12 +218,13 @@ def _whole_sets(need: DataFrame, docs: DataFrame, id_col: str, text: str, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(_sets(b.column(1), width))
-            same = signed(np.array([_digest(s) for s in sets], dtype=np.uint64)) == np.asarray(b.column(0))
-            sets = [s for s, k in zip(sets, same, strict=True) if k]
-            flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(same)), pa.array(n), lists(flat, n, pa.int64()), pa.array([_points(s) for s in sets], pa.binary())], names=["node", "n", "set", "point"])
+            for row, sets in _sets(b.column(1), width):
+                named = b.column(0).slice(row, len(sets))
+                same = signed(np.array([_digest(s) for s in sets], dtype=np.uint64)) == np.asarray(named)
+                sets = [s for s, k in zip(sets, same, strict=True) if k]
+                flat = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([named.filter(pa.array(same)), pa.array(n), lists(flat, n, pa.int64()), pa.array([_points(s) for s in sets], pa.binary())], names=["node", "n", "set", "point"])
 
     texts = _texts(docs, id_col, text).join(need.select("node", "id"), "id").select("node", "text")
     return texts.mapInArrow(run, "node long, n long, set array<long>, point binary")
@@ -262,7 +314,7 @@ def _search_nodes(rows: DataFrame, rule: Threshold) -> DataFrame:
         for g in groups(batches, ["key", "tile_a", "tile_b"]):
             node, comp, n = (np.asarray(g[c]) for c in ("node", "comp", "n"))
             side = np.asarray(g["side"])
-            points = np.frombuffer(b"".join(g["point"].to_pylist()), dtype=np.uint16).reshape(len(n), GROUPS).astype(np.int32)
+            points = _point_table(g["point"].to_pylist())
             _, label = np.unique(comp, return_inverse=True)
             right, left = (side == 1, side == 0) if (side == 1).any() and g["tile_a"][0] != g["tile_b"][0] else (side == 0, side == 0)
             if not right.any() or not left.any():
@@ -295,12 +347,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rule = Threshold(num, den)
     p = parts(spark)
     members = settle(named_sets(docs, id_col, text, width), "sets")
-    first = members.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
+    first = members.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"))
 
-    dealt = directory(docs, id_col, text, width, rule).select("node", F.explode("keys").alias("key")).repartition(p, "key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    nodes = settle(dealt.join(shared, "key").select("key", "node").distinct(), "nodes")
-    del dealt, shared
+    nodes = settle(directory(docs.where(F.col(id_col).isNotNull()), id_col, text, width, rule, p), "nodes")
     tidy(spark)
 
     need = nodes.select("node").distinct().join(first, "node")
@@ -337,6 +386,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     by_node = first.join(final, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"))
     smallest = by_node.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = by_node.join(smallest, "comp").select("node", "component_id")
-    filled = members.where("n > 0").join(named, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    filled = members.where("n > 0").join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     empty = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return filled.unionByName(empty)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.tables import parts, settle, tidy
-from lodestone.llm.textkit import _power, mix, signed, slices
+from lodestone.llm.textkit import PACKED, _power, mix, pack, signed, slices, unpack
 
 LENGTH, K = 50, 24
 #: Runs of one anchor that one task compares before they are dealt to parts; bytes of one suffix array.
@@ -218,29 +218,10 @@ SPAN = {"id": np.int64, "content": np.int32, "start": np.int32, "end": np.int32}
 RUN = {"h": np.uint64, "run": np.uint64, "id": np.int64, "content": np.int32, "start": np.int32, "size": np.uint8}
 NEED = {"h": np.uint64, "k": np.int32, **SPAN}
 _KINDS = {"span": SPAN, "run": RUN, "need": NEED}
-_PACKED = "bucket int, kind string, data binary"
 
 
 def _pack(bucket: np.ndarray, kind: str, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket: the columns' values of its rows, one column after the other."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    sorted_cols = [np.ascontiguousarray(cols[c][order].astype(t, copy=False)) for c, t in _KINDS[kind].items()]
-    data = [b"".join(x[a:b].tobytes() for x in sorted_cols) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([kind] * len(data), pa.string()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
-
-
-def _unpack(kind: str, blobs: list[bytes]) -> dict[str, np.ndarray]:
-    kinds = {c: np.dtype(t) for c, t in _KINDS[kind].items()}
-    width = sum(t.itemsize for t in kinds.values())
-    out: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
-    for raw in blobs:
-        n, at = len(raw) // width, 0
-        for c, t in kinds.items():
-            out[c].append(np.frombuffer(raw, dtype=t, count=n, offset=at))
-            at += n * t.itemsize
-    return {c: np.concatenate(x) if x else np.zeros(0, kinds[c]) for c, x in out.items()}
+    return pack(bucket, kind, [cols[c].astype(t, copy=False) for c, t in _KINDS[kind].items()])
 
 
 def _home(ids: np.ndarray, content: np.ndarray, p: int) -> np.ndarray:
@@ -320,7 +301,7 @@ def _compared_runs(p: int):
             blobs += [x for x, m in zip(b.column(2).to_pylist(), mine, strict=True) if m]
             if not mine.all():
                 yield b.filter(pa.array(~mine))
-        c = _unpack("run", blobs)
+        c = unpack(RUN, blobs)
         del blobs
         if not len(c["h"]):
             return
@@ -367,7 +348,7 @@ class _Held:
     """Packed rows of a bucket by the row they belong to."""
 
     def __init__(self, kind: str, blobs: list[bytes]):
-        c = _unpack(kind, blobs)
+        c = unpack(_KINDS[kind], blobs)
         order = np.lexsort([c["start"], c["content"], c["id"]])
         self.c = _taken(c, order)
         i, t = self.c["id"], self.c["content"]
@@ -474,12 +455,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """(bucket, kind, data): packed spans of byte ranges to remove, which may overlap."""
     p = parts(docs.sparkSession)
     texts = _text_rows(docs, id_col, text, p).where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    found = texts.select("id", "text", "content").mapInArrow(_found_runs(p), _PACKED).repartitionById(p, "bucket")
-    marks = settle(found.mapInArrow(_compared_runs(p), _PACKED), "marks")
+    found = texts.select("id", "text", "content").mapInArrow(_found_runs(p), PACKED).repartitionById(p, "bucket")
+    marks = settle(found.mapInArrow(_compared_runs(p), PACKED), "marks")
     del found
     tidy(docs.sparkSession)
     contexts = _beside(texts, marks.where("kind = 'need'"), p).mapInArrow(_cut_out, _CONTEXT)
-    sorted_ = contexts.repartition(p, "g").sortWithinPartitions("g").mapInArrow(_sorted_contexts(p), _PACKED)
+    sorted_ = contexts.repartition(p, "g").sortWithinPartitions("g").mapInArrow(_sorted_contexts(p), PACKED)
     more = settle(sorted_, "spans")
     del contexts, sorted_
     tidy(docs.sparkSession)

@@ -11,14 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Arrow batches that Python tasks get while a table is settled: small ones, as several workers share
+#: an executor's memory.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; if the session has none (tests, local use), a new local
-    one is set on the context, so later calls share it."""
+    """The folder in spark.checkpoint.dir. If it is unset, the context's checkpoint folder; if that is
+    unset too and Spark runs in local mode (tests, local use), a new local folder, which is set on the
+    context so that later calls share it. On a cluster an unset folder is an error, as executors could
+    not read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -30,7 +39,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     nothing refers to them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out

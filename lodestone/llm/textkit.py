@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled in one go (a longer single text forms a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -142,6 +142,34 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, type=kind))
 
 
+def pack(bucket: np.ndarray, kind: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows as one binary value per bucket, (bucket, kind, data): the values of the first column, then
+    those of the second, and so on. Rows that are shuffled like this cost the JVM one row a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    columns = [np.ascontiguousarray(c[order]) for c in columns]
+    data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([kind] * len(data), pa.string()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
+
+
+#: The schema of `pack`.
+PACKED = "bucket int, kind string, data binary"
+
+
+def unpack(kinds: dict[str, type], blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The columns of packed rows, all blobs one after another."""
+    types = {c: np.dtype(t) for c, t in kinds.items()}
+    width = sum(t.itemsize for t in types.values())
+    out: dict[str, list[np.ndarray]] = {c: [] for c in types}
+    for raw in blobs:
+        n, at = len(raw) // width, 0
+        for c, t in types.items():
+            out[c].append(np.frombuffer(raw, dtype=t, count=n, offset=at))
+            at += n * t.itemsize
+    return {c: np.concatenate(x) if x else np.zeros(0, types[c]) for c, x in out.items()}
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, from batches sorted by these keys. A run is held whole, so
     callers bound its size beforehand (by salts or tiles)."""
