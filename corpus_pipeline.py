@@ -8,7 +8,8 @@ columns of `documents`.
 * lines: recurring lines are taken out of the texts (n_chars follows); a document of which nothing
   but recurring lines was left goes.
 * near_duplicates: of each group of near copies (five-word shingles, similarity 0.8 or more) the
-  document with the smallest id stays. Rows without an id go; of rows that repeat an id one stays.
+  document with the smallest id stays; of rows that repeat an id the one whose text has the least
+  hash, of equal rows one. Rows without an id have no place in a group and stay.
 * decontaminate: documents that hold a passage of a benchmark item go.
 * tokens: each text as the ids of SentencePiece, with digests of the ids and of the decoded text.
 """
@@ -37,7 +38,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.link_components(docs, width=5, num=80, den=100)
     first = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    rest = F.struct(*(F.col(c) for c in docs.columns))
+    one = kept.groupBy("doc_id").agg(F.min_by(rest, F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("__row")).select("__row.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

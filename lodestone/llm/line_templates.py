@@ -1,29 +1,24 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
-Each line of a text (cut at newlines) is parsed down a tree of fixed depth: first by its number of
-tokens (white space parts them), then by its first DEPTH tokens. A token with a digit counts as a
-variable field `<*>` anywhere. In a leaf, a position at which more than MAX_CHILDREN different tokens
-occur is a variable field too. The line has up to two templates, with and without the variable fields
-of its leaf, of which those count that keep at least half of their tokens fixed. Besides, each line
-that is not blank stands for itself, literally and with any number of tokens.
-
-A template recurs if it is in at least MIN_DOCS documents of different content, whatever stands
-around it: documents are told apart by sketches, the smallest hash of their other lines under each
-of a few orders of the hashes, and under one of the orders there must be at least half as many
-sketches as contents (and MIN_DOCS). So boilerplate recurs, but the lines that a group of copies
-has in common do not; these are for the near-duplicate join. Several orders are needed as a second
-recurring line can have the smallest hash under one of them.
-
-As a large group of copies fails that share for lines that recur outside of it too, carriers are also
-counted: a document most of whose other lines are in no other document is a carrier of its own,
-one with more shared lines goes with those that have the same smallest hash among the shared ones, so
-that a group of copies is about one carrier whatever lines each adds. MIN_DOCS carriers are enough.
-A literal line recurs by this count alone. All lines that recur, or have a template that does, are
-dropped.
-
-Lines with fewer than MIN_TOKENS tokens have no template. Null texts stay null and empty texts empty; both
-have no dropped lines. Rows that repeat an id are told apart by their text, and equal rows share
-their result. Columns besides id and text are carried along by `without_recurring_lines`.
+Each line of a text (cut at newlines) that is not blank is parsed down a tree of fixed depth: first by
+its number of tokens (white space parts them), then by its first DEPTH tokens. A token with a digit
+counts as a variable field `<*>` anywhere. In a leaf, a position at which more than MAX_CHILDREN
+different tokens occur is a variable field too. The line has up to two templates, with and without the
+variable fields of its leaf, of which those count that keep at least half of their tokens fixed.
+Besides, each line stands for itself, literally.
+
+A template, or a literal line, recurs if MIN_DOCS documents or more carry it, and all lines that recur
+are dropped. Copies of a document count as one carrier: a document of which at least half of the other
+different lines are in other documents too goes with those that have the same smallest hash among
+these shared lines; any other document is a carrier of its own, and so is one without other lines.
+So boilerplate recurs, and the lines that only a group of copies has in common are left to the
+near-duplicate join, which keeps one of the group whole. (If boilerplate is half of the lines of all
+its documents and they have nothing else in common, they look like copies, and it stays.)
+
+Null texts stay null and empty texts empty; both have no dropped lines. Blank lines stay. Rows that
+repeat an id, and rows with a null id, are told apart by their text; equal texts are one document and
+equal rows share their result. Columns besides id and text are carried along by
+`without_recurring_lines`.
 """
 
 from __future__ import annotations
@@ -31,108 +26,82 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.tables import drop, settle, tidy
 
-DEPTH, MAX_CHILDREN, MIN_DOCS, MIN_TOKENS = 4, 8, 10, 3
+DEPTH, MAX_CHILDREN, MIN_DOCS = 4, 8, 10
 VARIABLE = "<*>"
 #: White space within lines besides the space.
 _WHITE = "\t\x0b\f\r"
 #: Such white space, and runs of any; a token with a digit, tried only where a token begins.
 _SPACES, _WITH_DIGIT = "[ \\t\\x0b\\f\\r]{2,}|[\\t\\x0b\\f\\r]", "(?<![^ \\n])[^ \\n0-9]*+[0-9][^ \\n]*+"
-#: What a line that is not blank has.
-_INK = "[^ \\t\\x0b\\f\\r]"
-#: Hashes are compared after an exclusive or with these, which orders them anew.
-_ORDERS = (0, 0x5A3C96E10F7B28D4, -0x3C5A69E1F0847B2D)
 
 
-def _ordered(order: int) -> Column:
-    return F.transform("said", lambda x: x["hash"].bitwiseXOR(F.lit(order)))
-
-
-def _lines(docs: DataFrame, id_col: str, text: str, depth: int, min_tokens: int) -> DataFrame:
-    """(id, content, sketches, line_no, line, hash, leaf) of the lines with enough tokens; in `line` tokens
-    are parted by one space and those with a digit replaced. The whole text is rewritten before it
-    is cut, as an expression over lines would be copied into each filter that Catalyst pushes down;
-    no lambda refers to a computed column, which would be computed anew for each element, and an
-    inner explode would add filters that repeat what makes its array.
+def _lines(docs: DataFrame, id_col: str, text: str, depth: int) -> DataFrame:
+    """(id, content, line_no, line, hash, leaf) of the lines that are not blank; in `line` tokens are
+    parted by one space and those with a digit replaced, `hash` is that of the line as it is. The whole
+    text is rewritten before it is cut, as an expression over lines would be copied into each filter
+    that Catalyst pushes down, and an inner explode would add filters that repeat what makes its array.
     The leaf takes no list of tokens: it is a hash of the number of spaces and of what stands before
     the space number `depth`."""
     uneven = reduce(or_, (F.contains(F.col(text), F.lit(x)) for x in ("  ", *_WHITE)))
     plain = F.regexp_replace(F.when(uneven, F.regexp_replace(F.col(text), _SPACES, " ")).otherwise(F.col(text)), _WITH_DIGIT, VARIABLE)
     d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.transform(F.split(F.col(text), "\n", -1), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)).alias("lines"))
-    d = d.withColumn("lines", F.arrays_zip(F.col("hashes").alias("hash"), F.col("lines").alias("line"))).withColumn("said", F.filter("lines", lambda x: x["line"] != ""))
-    d = d.withColumns({f"by{k}": _ordered(m) for k, m in enumerate(_ORDERS)})
-    d = d.withColumns({f"least{k}": F.array_min(f"by{k}") for k in range(len(_ORDERS))})
-    d = d.withColumns({f"next{k}": F.array_min(F.array_remove(f"by{k}", F.col(f"least{k}"))) for k in range(len(_ORDERS))})
-    d = d.select("*", F.posexplode_outer("lines").alias("line_no", "one"))
+    d = d.select("id", "content", F.posexplode_outer(F.arrays_zip(F.col("hashes").alias("hash"), F.col("lines").alias("line"))).alias("line_no", "one"))
     line = F.col("one.line")
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    sketches = F.array(*(F.when(F.col("one.hash").bitwiseXOR(F.lit(m)) == F.col(f"least{k}"), F.coalesce(f"next{k}", "content")).otherwise(F.col(f"least{k}")) for k, m in enumerate(_ORDERS)))
-    return d.where((line != "") & (spaces >= min_tokens - 1)).select("id", "content", sketches.alias("sketches"), "line_no", "one.line", "one.hash", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
-
-
-def _contents(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """(key, contents) of the keys in at least `min_docs` different contents."""
-    return rows.groupBy(key, "content").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("contents")).where(F.col("contents") >= min_docs)
+    return d.where(line != "").select("id", "content", "line_no", "one.line", "one.hash", F.xxhash64(spaces, F.substring_index(line, " ", depth)).alias("leaf"))
 
 
-def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """The keys in enough contents and, under one order, enough sketches."""
-    spread = rows.select(key, F.posexplode("sketches").alias("order", "sketch"))
-    spread = spread.groupBy(key, "order", "sketch").agg(F.lit(1).alias("one")).groupBy(key, "order").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("sketches"))
-    return spread.where(F.col("sketches") >= min_docs).join(_contents(rows, key, min_docs), key).where(2 * F.col("sketches") >= F.col("contents")).select(key)
+def _contents(rows: DataFrame, key: str, at_least: int) -> DataFrame:
+    """(key, among): the keys in at least so many different contents."""
+    return rows.groupBy(key, "content").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("among")).where(F.col("among") >= at_least)
 
 
-def _shared(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines by the hash they stand for: held (hash, content, among) of those that are in several
-    contents, with the number of contents; shared (hash) of these; and about (content, n, m, least,
-    next): the different lines of a content, how many are shared, and the least two hashes of those."""
-    said = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(_INK)), lambda x: F.xxhash64(x)))
-    d = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("content"), said.alias("said"))
-    rows = settle(d.select("content", F.size("said").alias("n"), F.explode("said").alias("hash")).groupBy("hash", "content").agg(F.first("n").alias("n")), "said")
-    shared = settle(rows.groupBy("hash").agg(F.count("*").alias("among")).where("among > 1"), "shared")
-    held = settle(rows.join(shared, "hash"), "held")
-    about = held.groupBy("content").agg(F.first("n").alias("n"), F.count("*").alias("m"), F.slice(F.sort_array(F.collect_list("hash")), 1, 2).alias("two"))
-    about = settle(about.select("content", "n", "m", F.get("two", F.lit(0)).alias("least"), F.get("two", F.lit(1)).alias("next")), "about")
-    drop(rows)
-    return held.select("hash", "content", "among"), shared.select("hash"), about
+def _shared(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """held (hash, content, among): lines in several contents, with the number of these; about (content,
+    n, m, least, next): the different lines of a content, how many of them are shared, and the least
+    two hashes of the shared ones."""
+    said = lines.groupBy("hash", "content").agg(F.lit(1).alias("one")).select("hash", "content")
+    held = settle(said.join(_contents(lines, "hash", 2), "hash"), "held")
+    two = held.groupBy("content").agg(F.count("*").alias("m"), F.slice(F.sort_array(F.collect_list("hash")), 1, 2).alias("two"))
+    about = said.groupBy("content").agg(F.count("*").alias("n")).join(two, "content")
+    return held, settle(about.select("content", "n", "m", F.get("two", F.lit(0)).alias("least"), F.get("two", F.lit(1)).alias("next")), "about")
 
 
 def _carried(rows: DataFrame, about: DataFrame, key: str, min_docs: int) -> DataFrame:
     """The keys with enough carriers, from rows (key, content, hash, is_shared)."""
     others = F.col("m") - F.when(F.col("is_shared"), 1).otherwise(0)
     group = F.when(F.col("is_shared") & (F.col("hash") == F.col("least")), F.col("next")).otherwise(F.col("least"))
-    carrier = F.when(2 * others < F.col("n") - 1, F.col("content")).otherwise(F.coalesce(group, "content"))
+    carrier = F.when((2 * others < F.col("n") - 1) | (F.col("n") == 1), F.col("content")).otherwise(F.coalesce(group, "content"))
     told = rows.join(about, "content", "left").select(key, F.coalesce(carrier, "content").alias("carrier"))
     return told.groupBy(key, "carrier").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("carriers")).where(F.col("carriers") >= min_docs).select(key)
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(id, content, line_no, template): the lines to drop, with a template that recurs or the line as
-    it is. `content` is xxhash64 of the text."""
-    held, shared, about = _shared(docs, text)
-    literal = settle(_carried(held.where(F.col("among") >= min_docs).select("hash", "content", F.lit(True).alias("is_shared")), about, "hash", min_docs), "literal")
-    all_lines = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "template"))
-    said = settle(all_lines.withColumn("hash", F.xxhash64("template")).join(literal, "hash", "left_semi").select("id", "content", "line_no", "template"), "said")
-    lines = _lines(docs, id_col, text, depth, min_tokens)
-    leaves = _contents(lines, "leaf", min_docs).select("leaf")
-    near = settle(lines.join(leaves, "leaf", "left_semi").withColumn("tokens", F.split("line", " ")).drop("line"), "lines")
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, content, line_no, template): the lines to drop, with the template that recurs, or for a line
+    that recurs literally the line with its digits replaced. `content` is xxhash64 of the text."""
+    lines = settle(_lines(docs, id_col, text, depth), "lines")
+    held, about = _shared(lines)
+    literal = _carried(held.where(F.col("among") >= min_docs).select("hash", "content", F.lit(True).alias("is_shared")), about, "hash", min_docs)
+    said = settle(lines.join(literal, "hash", "left_semi").select("id", "content", "line_no", F.col("line").alias("template")), "said")
+    near = lines.join(_contents(lines, "leaf", min_docs).select("leaf"), "leaf", "left_semi")
+    near = settle(near.withColumn("tokens", F.split("line", " ")).drop("line"), "near")
     tidy(docs.sparkSession)
     spots = near.where(F.size("tokens") > depth).select("leaf", F.posexplode("tokens").alias("at", "token")).where(f"at >= {depth}")
     loose = spots.groupBy("leaf", "at", "token").agg(F.lit(1).alias("one")).groupBy("leaf", "at").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).groupBy("leaf").agg(F.collect_set("at").alias("loose"))
     shaped = near.join(loose, "leaf", "left").withColumn("loose", F.coalesce("loose", F.array().cast("array<int>")))
     shaped = shaped.withColumn("shape", F.transform("tokens", lambda t, i: F.when(F.array_contains("loose", i), F.lit(VARIABLE)).otherwise(t)))
     template = lambda c: F.when(2 * F.size(F.filter(c, lambda t: t != VARIABLE)) >= F.size(c), F.concat_ws(" ", c))
-    shaped = shaped.select("id", "content", "sketches", "line_no", "hash", F.explode(F.array_distinct(F.array_compact(F.array(template("shape"), template("tokens"))))).alias("template"))
-    shaped = settle(shaped.withColumn("leaf", F.xxhash64("template")), "shapes")
-    told = shaped.select("leaf", "content", "hash").distinct().join(shared.withColumn("is_shared", F.lit(True)), "hash", "left").withColumn("is_shared", F.coalesce("is_shared", F.lit(False)))
-    again = _recurring(shaped, "leaf", min_docs).unionByName(_carried(told, about, "leaf", min_docs)).distinct()
-    found = shaped.join(again, "leaf", "left_semi").select("id", "content", "line_no", "template")
+    shaped = shaped.select("id", "content", "line_no", "hash", F.explode(F.array_distinct(F.array_compact(F.array(template("shape"), template("tokens"))))).alias("template"))
+    shaped = settle(shaped.withColumn("key", F.xxhash64("template")), "shapes")
+    often = shaped.join(_contents(shaped, "key", min_docs).select("key"), "key", "left_semi").select("key", "content", "hash").distinct()
+    told = often.join(held.select("hash").distinct().withColumn("is_shared", F.lit(True)), "hash", "left").withColumn("is_shared", F.coalesce("is_shared", F.lit(False)))
+    found = shaped.join(_carried(told, about, "key", min_docs), "key", "left_semi").select("id", "content", "line_no", "template")
     out = settle(found.unionByName(said).groupBy("id", "content", "line_no").agg(F.min("template").alias("template")), "recurring")
-    drop(near, shaped, said, literal)
+    drop(lines, held, about, near, shaped, said)
     return out
 
 
@@ -142,6 +111,6 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str =
     if "n_dropped_lines" in docs.columns:
         raise ValueError("column n_dropped_lines exists already")
     gone = recurring_lines(docs, id_col, text, **options).groupBy(F.col("id").alias("__id"), F.col("content").alias("__text")).agg(F.collect_set("line_no").alias("__gone"))
-    both = docs.withColumn("__content", F.xxhash64(text)).join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__content") == F.col("__text")), "left")
+    both = docs.withColumn("__content", F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__content") == F.col("__text")), "left")
     rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return both.select(*(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else docs[c] for c in docs.columns), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_dropped_lines"))
