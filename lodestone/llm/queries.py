@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bilinear, decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, suffix_dedup, training_order, url_trust
-from lodestone.llm.tables import read
+from lodestone.llm.tables import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    more = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
+    rows = rows.unionByName(more.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema.fields)))
     made = reply_trees.conversations(reply_trees.linear(rows, "conv_id", "turn"))
     turns = F.array_join(F.transform(reply_trees.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = reply_trees.under_loss(F.col("formatted"), F.col("loss"))
@@ -76,9 +78,13 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards into a new folder below the shared one; the rows are read back from there."""
+    folder, key = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}", 20240229
+    if "://" not in folder:
+        folder = f"file://{folder.removeprefix('file:')}"
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = training_order.sequences(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end=50256, key=20240229)
-    return rows.withColumn("payload_sha256", F.sha2("payload", 256))
+    made = training_order.materialise(read(spark, sf_dir, "documents"), folder, path, public_tokenizers.PATTERN, end=50256, key=key)
+    return training_order.read_shards(made, folder, key).withColumn("payload_sha256", F.sha2("payload", 256)).drop("payload")
 
 
 URL_RULES = [url_trust.UrlRule(v, h, p) for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))]

@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write `df` as Parquet into the shared folder and return it as read back. A lost executor
     then costs a re-read, not a recomputation. Shuffle files of what came before can go once
     nothing refers to them."""
@@ -42,7 +42,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
