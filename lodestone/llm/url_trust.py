@@ -5,12 +5,15 @@ begins with the rule's; of the rules that fit, the longest decides. Hosts of pag
 are trusted seeds, hosts of pages that rules block are distrusted seeds (by their number of pages).
 
 Hosts are joined by edges: links in the pages to other hosts, and both ways between a host and the
-nearest host above it (its domain without leading labels) that has pages. Two personalised PageRanks
+domain above it (without the first label), up to a domain of two labels, whether these have pages or
+not; so hosts of one owner are near each other even where links do not leave their host. There is no
+list of public suffixes: hosts below one of two labels are taken for one owner's. Two personalised PageRanks
 run at once: trust from the trusted seeds along the edges, distrust from the blocked seeds against
 them (a host that links to bad hosts is suspect). What a host without edges would pass on, and the
 restart, return to the seeds. The ranks are iterated until those of all hosts have settled and no
 host is reached anew, however long the chains of links are. A host is blocked if its share of all distrust is more than its share
-of all trust times `threshold`; pages that no rule fits get their host's verdict.
+of all trust times `threshold` (if they are equal, it is allowed); pages that no rule fits get their
+host's verdict. Without seeds of a kind its shares are zero.
 
 Null URLs and URLs without "://" have an empty host and path; no rule fits them and they are
 allowed. Null pages have no links. Repeated rows are judged each by itself. Other columns are
@@ -71,8 +74,9 @@ def host_edges(pages: DataFrame, html: str) -> DataFrame:
     links = links.select("src", lowered(F.col("dst")).alias("dst")).where("src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     hosts = pages.where(F.col("host") != "").select("host").distinct()
     labels = F.split("host", r"\.")
-    above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.struct(k.alias("k"), F.concat_ws(".", F.slice(labels, k, F.size(labels))).alias("up")))).alias("a")).where(F.size(labels) >= 2).select("host", "a.k", "a.up")
-    nearest = above.join(hosts.withColumnRenamed("host", "up"), "up").groupBy("host").agg(F.min_by("up", "k").alias("up"))
+    tail = lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels)))
+    steps = F.transform(F.sequence(F.lit(1), F.size(labels) - 2), lambda k: F.struct(tail(k).alias("host"), tail(k + 1).alias("up")))
+    nearest = hosts.where(F.size(labels) > 2).select(F.explode(steps).alias("s")).select("s.*").distinct()
     both = nearest.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("up").alias("dst")), F.struct(F.col("up").alias("src"), F.col("host").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("w"))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
