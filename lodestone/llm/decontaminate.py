@@ -10,9 +10,9 @@ The seeds of the benchmark, however many, are summed up in a bit field of fixed
 gets; only document windows whose bit is set leave the map side. These are joined with the
 benchmark's seeds by Spark, and each pair of windows is compared word by word.
 
-Items with fewer than SPAN words, but at least SHORTEST, leak by their whole sequence without
-substitutions; items with fewer still are too common to count and never leak. Null and empty texts
-leak nothing. Rows that repeat an id count as one document, items likewise. Other columns are
+Items with fewer than SPAN words leak by their whole sequence without substitutions, however short
+they are; `whole_item` tells such pairs apart, and a caller who finds them too common can leave them
+out. Items without words never leak. Null and empty texts leak nothing. Rows that repeat an id count as one document, items likewise. Other columns are
 ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.tables import settle
 from lodestone.llm.textkit import Words, mix, signed, words_of
 
-SPAN, TOLERANCE, SHORTEST = 12, 2, 6
+SPAN, TOLERANCE = 12, 2
 BLOCK = SPAN // 4
 MASKS = tuple(combinations(range(4), 2))
 #: Bits of the field: fixed, 8 MB.
@@ -84,7 +84,7 @@ def benchmark_seeds(items: DataFrame, id_col: str, text: str) -> DataFrame:
             for base, w in words_of(b.column(1), letters=True):
                 for at, seed in _seeds(w):
                     yield _rows(b.column(0), base, w, at, seed, SPAN)
-                for n in range(SHORTEST, SPAN):
+                for n in range(1, SPAN):
                     at, seed = _grams(w, n)
                     whole = w.count[w.doc[at]] == n
                     yield _rows(b.column(0), base, w, at[whole], seed[whole], n)
@@ -102,7 +102,9 @@ def bit_field(seeds: DataFrame) -> np.ndarray:
     return field
 
 
-def document_seeds(docs: DataFrame, field: np.ndarray, id_col: str, text: str) -> DataFrame:
+def document_seeds(docs: DataFrame, field: np.ndarray, short: list[int], id_col: str, text: str) -> DataFrame:
+    """The documents' windows whose bit is set; `short` has the lengths of items below SPAN words. Of
+    equal short windows of a document only the first is given."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +121,12 @@ def document_seeds(docs: DataFrame, field: np.ndarray, id_col: str, text: str) -
                     hit = set_(seed)
                     if hit.any():
                         yield _rows(b.column(0), base, w, at[hit], seed[hit], SPAN)
-                for n in range(SHORTEST, SPAN):
+                for n in short:
                     at, seed = _grams(w, n)
-                    hit = set_(seed)
-                    if hit.any():
+                    hit = np.flatnonzero(set_(seed))
+                    if len(hit):
+                        _, first = np.unique(mix(seed[hit] ^ mix(w.doc[at[hit]].astype(np.uint64))), return_index=True)
+                        hit = hit[np.sort(first)]
                         yield _rows(b.column(0), base, w, at[hit], seed[hit], n)
 
     return docs.select(id_col, text).mapInArrow(run, _schema(docs, id_col))
@@ -131,9 +135,11 @@ def document_seeds(docs: DataFrame, field: np.ndarray, id_col: str, text: str) -
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """One row for each pair of a document and an item it leaks: id_col, item_col, n_windows (item
     windows found), best_match (most equal words of a window), first_word (place of the first such
-    window in the document, counted in words)."""
+    window in the document, counted in words), whole_item (the item is shorter than SPAN words)."""
     seeds = settle(benchmark_seeds(items, item_col, item_text), "seeds")
-    found = document_seeds(docs, bit_field(seeds), id_col, text)
+    length = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda k: F.substring(F.hex("words"), k * 16 + 1, F.lit(16))), lambda x: x != "0" * 16))
+    short = sorted(r[0] for r in seeds.select(length.alias("n")).distinct().where(F.col("n") < SPAN).collect())  # SPAN - 1 rows at most
+    found = document_seeds(docs, bit_field(seeds), short, id_col, text)
     seeds = seeds.select("seed", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("words").alias("item_words"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +150,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: s
             short = (y == 0).any(axis=1)
             same = ((x == y) & (y != 0)).sum(axis=1)
             ok = np.where(short, (x == y).all(axis=1), same >= SPAN - TOLERANCE)
-            kept = pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(same.astype(np.int64))], names=[id_col, item_col, "pos", "item_pos", "same"])
+            kept = pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(same.astype(np.int64)), pa.array(short)], names=[id_col, item_col, "pos", "item_pos", "same", "whole"])
             yield kept.filter(pa.array(ok))
 
     pairs = found.join(seeds, "seed").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "pos", "item_pos", "words", "item_words")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    equal = pairs.mapInArrow(compare, f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds[item_col]}, pos long, item_pos long, same long")
-    return equal.groupBy(id_col, item_col).agg(F.count_distinct("item_pos").alias("n_windows"), F.max("same").alias("best_match"), F.min("pos").alias("first_word"))
+    equal = pairs.mapInArrow(compare, f"`{id_col}` {kinds[id_col]}, `{item_col}` {kinds[item_col]}, pos long, item_pos long, same long, whole boolean")
+    return equal.groupBy(id_col, item_col).agg(F.count_distinct("item_pos").alias("n_windows"), F.max("same").alias("best_match"), F.min("pos").alias("first_word"), F.bool_or("whole").alias("whole_item"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **names) -> DataFrame:
