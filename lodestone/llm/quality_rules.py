@@ -244,17 +244,19 @@ def _pruned(rule: Rule, x, bad, rows) -> Rule | None:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, **options) -> DecisionList:
     """Learn the list from the documents that have a label; 0 means to reject. The labelled rows
     are bounded by `max_labelled`; those that fail the base rules are judged without the list and
-    left out."""
+    left out. Of rows that repeat a labelled id the least by its ratios counts."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("__label")).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
     few = docs.select(id_col, text).join(F.broadcast(chosen), id_col, "left_semi")
-    rows = statistics(few, id_col, text).join(F.broadcast(chosen), id_col).where(~base_failed()).select(id_col, "__label", *(ratio(r).alias(f"__{r}") for r in RATIOS)).toPandas()
-    rows = rows.sort_values([id_col, *(f"__{r}" for r in RATIOS)], kind="stable").drop_duplicates(id_col)
+    rows = statistics(few, id_col, text).join(F.broadcast(chosen), id_col).where(~base_failed()).select(id_col, "__label", *(ratio(r).alias(f"__{r}") for r in RATIOS))
+    rows = rows.groupBy(id_col).agg(F.min(F.struct(*(f"__{r}" for r in RATIOS))).alias("__x"), F.min("__label").alias("__label"), F.min(F.xxhash64(id_col)).alias("__order")).select(id_col, "__label", "__order", "__x.*").toPandas()
+    if rows[id_col].dtype.kind in "iu":
+        rows["__order"] = mix(rows[id_col].to_numpy().astype(np.int64).view(np.uint64))
+    rows = rows.sort_values(["__order", id_col], kind="stable")
     bad = rows["__label"].to_numpy() == 0
     if not bad.any() or bad.all():
         return DecisionList()
-    # rows by a hash of the id, so that the folds do not depend on the order of the ids
-    order = np.argsort(mix(rows[id_col].to_numpy().astype(np.int64).view(np.uint64)) if rows[id_col].dtype.kind in "iu" else np.arange(len(rows)), kind="stable")
-    return learn({r: rows[f"__{r}"].to_numpy(dtype=float)[order] for r in RATIOS}, bad[order], **options)
+    # in the order of a hash of the id, so that the folds do not depend on how ids are dealt out
+    return learn({r: rows[f"__{r}"].to_numpy(dtype=float) for r in RATIOS}, bad, **options)
 
 
 def base_failed(min_words: int = 20, repeat_percent: int = 30, at: str = "") -> Column:
