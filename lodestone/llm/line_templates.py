@@ -81,12 +81,14 @@ def _carried(rows: DataFrame, about: DataFrame, key: str, min_docs: int) -> Data
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, content, line_no, template): the lines to drop, with the template that recurs, or for a line
-    that recurs literally the line with its digits replaced. `content` is xxhash64 of the text."""
+    """(id, content, line_no, template): the lines to drop, with the template that recurs, null if the
+    line recurs only literally. `content` is xxhash64 of the text."""
     lines = settle(_lines(docs, id_col, text, depth), "lines")
     held, about = _shared(lines)
     literal = _carried(held.where(F.col("among") >= min_docs).select("hash", "content", F.lit(True).alias("is_shared")), about, "hash", min_docs)
-    said = settle(lines.join(literal, "hash", "left_semi").select("id", "content", "line_no", F.col("line").alias("template")), "said")
+    said = lines.select("id", "content", "line_no", "hash").join(literal, "hash", "left_semi")
+    said = settle(said.select("id", "content", "line_no", F.lit(None).cast("string").alias("template")), "said")
+    tidy(docs.sparkSession)
     near = lines.join(_contents(lines, "leaf", min_docs).select("leaf"), "leaf", "left_semi")
     near = settle(near.withColumn("tokens", F.split("line", " ")).drop("line"), "near")
     tidy(docs.sparkSession)
@@ -102,6 +104,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = shaped.join(_carried(told, about, "key", min_docs), "key", "left_semi").select("id", "content", "line_no", "template")
     out = settle(found.unionByName(said).groupBy("id", "content", "line_no").agg(F.min("template").alias("template")), "recurring")
     drop(lines, held, about, near, shaped, said)
+    tidy(docs.sparkSession)
     return out
 
 

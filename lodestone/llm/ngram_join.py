@@ -42,6 +42,8 @@ from lodestone.llm.textkit import PACKED, groups, lists, mix, pack, signed, unpa
 PIVOTS = 4
 #: Coordinates of a point, points of a leaf, texts of a tile, edges of one hub verified together.
 GROUPS, FANOUT, TILE, HUB = 256, 32, 2048, 4096
+#: Pairs that a task hands on at a time.
+PAIRS = 1 << 16
 #: Keys of a text, the smallest ones, by which a pair is recognised that an earlier node gives too.
 EARLIER = 64
 
@@ -310,22 +312,30 @@ def _search_nodes(rows: DataFrame, rule: Threshold) -> DataFrame:
     its texts have a smaller key in common, so the node with its smallest common key gives it. As
     `keys` has only the first few of each text, a pair may still come twice, but is never lost."""
 
+    def of(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        out = np.concatenate(pairs, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["key", "tile_a", "tile_b"]):
             node, comp, n = (np.asarray(g[c]) for c in ("node", "comp", "n"))
             side = np.asarray(g["side"])
             points = _point_table(g["point"].to_pylist())
             _, label = np.unique(comp, return_inverse=True)
-            right, left = (side == 1, side == 0) if (side == 1).any() and g["tile_a"][0] != g["tile_b"][0] else (side == 0, side == 0)
+            right, left = (side == 1, side == 0) if g["tile_a"][0] != g["tile_b"][0] else (side == 0, side == 0)
             if not right.any() or not left.any():
                 continue
             tree = RTree(points[right], n[right], label[right])
             names = node[right][tree.order]
             keys, before = _smaller(g["keys"], int(g["key"][0].as_py()))
             theirs = keys[right][tree.order]
-            pairs = []
+            within = bool((side == 0).all())
+            pairs: list[np.ndarray] = []
+            size = 0
             for k in np.flatnonzero(left):
                 found = tree.search(points[k], int(n[k]), int(label[k]), rule)
+                if within:  # each pair of a tile is met from both sides
+                    found = found[names[found] < node[k]]
                 if before[k] and len(found):
                     own = keys[k, : before[k]]
                     spot = np.minimum(np.searchsorted(own, theirs[found]), before[k] - 1)
@@ -333,9 +343,12 @@ def _search_nodes(rows: DataFrame, rule: Threshold) -> DataFrame:
                 hits = names[found]
                 if len(hits):
                     pairs.append(np.stack([np.maximum(hits, node[k]), np.minimum(hits, node[k])]))
+                    size += len(hits)
+                if size >= PAIRS:
+                    yield of(pairs)
+                    pairs, size = [], 0
             if pairs:
-                out = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+                yield of(pairs)
 
     return rows.repartition(parts(rows.sparkSession), "key", "tile_a", "tile_b").sortWithinPartitions("key", "tile_a", "tile_b").mapInArrow(run, "a long, b long").distinct()
 
