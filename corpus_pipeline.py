@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, line_templates, ngram_join, quality_rules, sentence_pieces
-from lodestone.llm.tables import drop, read, settle
+from lodestone.llm.tables import drop, read, settle, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     groups = ngram_join.link_components(docs, width=5, num=80, den=100)
     first = groups.where("doc_id = component_id").select("doc_id")
     kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
@@ -49,6 +50,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return sentence_pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
 
 

@@ -60,10 +60,15 @@ def drop(*frames: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def tidy(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks of this session get small Arrow batches from now on."""
+    spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def tidy(spark: SparkSession, times: int = 2) -> None:
     """Let Spark's cleaner notice shuffles whose frames are gone, so that their files do not stay on
     disk beside those of the next steps."""
-    for _ in range(2):
+    for _ in range(times):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
@@ -103,4 +108,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the driver's. What reads one is about to run Python over whole texts, so batches are
+    made small."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

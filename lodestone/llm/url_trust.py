@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import drop, settle
+from lodestone.llm.tables import drop, settle, tidy
 
 STEPS, DAMPING, THRESHOLD = 10, 0.85, 1.0
 #: Steps between two looks at the change, and the largest change of a host's rank, as a share of it, that ends.
@@ -121,6 +121,8 @@ def fixed_point(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) ->
         if rank is not seeds:
             drop(rank)
         rank = now
+        del now, was, change
+        tidy(rank.sparkSession, 1)
     sums = rank.groupBy("kind").agg(F.sum("rank").alias("all"))
     return rank.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
 
