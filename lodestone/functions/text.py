@@ -60,21 +60,24 @@ def doi(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.coalesce(col(x), F.lit("")))), r"^https?://(dx\.)?doi\.org/", "")
 
 
-def identity(pmid: Column, doi_: Column, arxiv: Column, url: Column, fallback: Column) -> Column:
-    """The strongest identifier that is there, else a hash."""
+def identity(pmid: Column, doi_: Column, arxiv: Column, url: Column, source: Column, title: Column) -> Column:
+    """The strongest identifier that is there, else a hash of source and title, else ''."""
     named = [F.concat(F.lit(f"{k}:"), blank_to_null(c)) for k, c in (("pmid", pmid), ("doi", doi_), ("arxiv", arxiv), ("url", url))]
-    return F.coalesce(*named, F.concat(F.lit("hash:"), F.left(F.sha2(fallback, 256), F.lit(20))))
+    words = F.lower(compact(title))
+    digest = F.left(F.sha2(F.concat(F.lower(compact(source)), F.lit("|"), words), 256), F.lit(20))
+    return F.coalesce(*named, F.when(words != "", F.concat(F.lit("fallback:"), digest)), F.lit(""))
 
 
 _URL = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def normalise_url(x: Column | str) -> Column:
-    """http and https only: lower-case scheme and host, single slashes, no fragment; else ''."""
+    """http and https only: lower-case scheme and host, single slashes, an empty path as /, no fragment;
+    else ''."""
     u = F.trim(F.coalesce(col(x), F.lit("")))
     scheme, host = F.lower(F.regexp_extract(u, _URL, 1)), F.lower(F.regexp_extract(u, _URL, 2))
     path, query = F.regexp_replace(F.regexp_extract(u, _URL, 3), "/+", "/"), F.regexp_extract(u, _URL, 4)
-    return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), host, path, query)).otherwise("")
+    return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query)).otherwise("")
 
 
 def hostname(x: Column | str) -> Column:
@@ -104,18 +107,60 @@ def freshness(published: Column, as_of: Column, days: int) -> Column:
     return F.when(published.isNull(), "undated").when(age < -1, "future").when(age <= days, "fresh").otherwise("stale")
 
 
-def term_score(hay: Column, weights: dict[str, float], penalties: dict[str, float]) -> Column:
-    """Sum of the weights of contained terms less that of penalties, within 0 and 1."""
+def weight_of(source: Column, weights: dict[str, float]) -> Column:
+    """The weight of a kind of source, 0 for others."""
+    return F.coalesce(*(F.when(source == k, F.lit(float(w))) for k, w in weights.items()), F.lit(0.0))
+
+
+def term_score(hay: Column, weights: dict[str, float], penalties: dict[str, float], source_weight: Column | None = None) -> Column:
+    """Sum of the weights of contained terms less that of penalties, and the source's weight, within 0
+    and 1."""
     total = F.lit(0.0)
     for term, w in sorted(weights.items()):
         total = total + F.when(F.contains(hay, F.lit(term)), F.lit(float(w))).otherwise(0.0)
     for term, w in sorted(penalties.items()):
         total = total - F.when(F.contains(hay, F.lit(term)), F.lit(float(w))).otherwise(0.0)
+    if source_weight is not None:
+        total = total + source_weight
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 
-def tier(score: Column, must_read: float = 0.62, skim: float = 0.40, collapsed: float = 0.30) -> Column:
-    return F.when(score >= must_read, "must_read").when(score >= skim, "skim").when(score >= collapsed, "collapsed").otherwise("archive")
+def novelty(hay: Column, terms: list[str]) -> Column:
+    """A quarter for each contained term, 1 at most."""
+    found = F.lit(0)
+    for t in terms:
+        found = found + F.when(F.contains(hay, F.lit(t)), 1).otherwise(0)
+    return F.least(F.lit(1.0), found * 0.25)
+
+
+def matched(hay: Column, terms: list[str]) -> Column:
+    """The contained terms, in the order given."""
+    return F.array_compact(F.array(*(F.when(F.contains(hay, F.lit(t)), F.lit(t)) for t in terms)))
+
+
+def tier(score: Column, novelty_: Column, gate: Column, must_read: float = 0.62, must_novelty: float = 0.40, skim: float = 0.30, collapsed: float = 0.10) -> Column:
+    """Stale and future items are archived; must_read asks for relevance and novelty."""
+    return F.when(gate.isin("stale", "future"), "archive").when((score >= must_read) & (novelty_ >= must_novelty), "must_read").when(score >= skim, "skim").when(score >= collapsed, "collapsed").otherwise("archive")
+
+
+def _month_number(names: str, name: Column) -> Column:
+    """1 to 12, or 0 for a name that is none of the three-letter `names` in a row."""
+    at = F.instr(F.lit(names), name)
+    return F.when((F.length(name) == 3) & (at > 0) & ((at - 1) % 3 == 0), ((at - 1) / 3 + 1).cast("int")).otherwise(0)
+
+
+def normalise_date(x: Column | str) -> Column:
+    """YYYY-MM-DD from `2024-3-7` or `2024/3/7` anywhere in the text, `2024 Mar 7`, an RFC 2822 date, or
+    an ISO date or time at the start; '' if there is none, or if the first form names no real day."""
+    t = compact(x)
+    day = lambda y, m, d: F.date_format(F.try_to_date(F.format_string("%s-%s-%s", y, m, d), "y-M-d"), "yyyy-MM-dd")
+    numbers, words, mail = r"\b(20[0-9]{2})[-/]([0-9]{1,2})[-/]([0-9]{1,2})\b", r"\b(20[0-9]{2})\s+([A-Za-z]{3})[A-Za-z]{0,6}\s+([0-9]{1,2})\b", r"^(?:[A-Za-z]{3},?\s+)?([0-9]{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+([0-9]{4})\b"
+    part = lambda p, k: F.regexp_extract(t, p, k)
+    month = lambda p: ((_month_number("janfebmaraprmayjunjulaugsepoctnovdec", F.lower(part(p, 2)))))
+    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:$|[T ])"
+    first = F.when(t.rlike(numbers), F.coalesce(day(part(numbers, 1), part(numbers, 2), part(numbers, 3)), F.lit("")))
+    named = lambda p, y, d: F.when(t.rlike(p) & (month(p) > 0), day(part(p, y), month(p).cast("string"), part(p, d)))
+    return F.coalesce(first, named(words, 1, 3), named(mail, 3, 1), F.when(t.rlike(iso), day(part(iso, 1), part(iso, 2), part(iso, 3))), F.lit(""))
 
 
 def error_rate(a: Column, b: Column) -> Column:

@@ -54,21 +54,29 @@ def by_type_quota(df: DataFrame, kind: str, quota: dict[str, int], *order: Colum
 
 
 def seen_fold(df: DataFrame, keys: list[str], order: str, group: str) -> DataFrame:
-    """The order-dependent filter: rows in order, a row goes if any of its keys was seen, and only
-    kept rows add theirs. It has no relational form and runs as a fold within each `group`."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in keys]
-        kept = []
-        for row in pdf.sort_values(order, kind="stable").itertuples(index=False):
-            values = [getattr(row, k) for k in keys]
-            if any(v not in (None, "") and v in s for v, s in zip(values, seen, strict=True)):
-                continue
-            for v, s in zip(values, seen, strict=True):
-                if v not in (None, ""):
-                    s.add(v)
-            kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return df.groupBy(group).applyInPandas(fold, df.schema)
+    """The order-dependent filter: within each group rows in order, a row goes if any of its keys was
+    seen, and only kept rows add theirs. Runs in rounds: of the undecided rows those that are first
+    for all of their keys are kept, and the others that share a key with a kept row go; the first
+    undecided row of a group is always decided, so this ends, and no task holds a group. Orders must
+    be unique within a group. Null and blank keys match nothing."""
+    from lodestone.operators.graph import cut
+
+    said = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in keys))
+    long = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.explode(said).alias("k")).select("g", "o", "k.kind", "k.value").where("value is not null and value <> ''")
+    keyless = df.select(F.col(group).alias("g"), F.col(order).alias("o")).join(long.select("g", "o").distinct(), ["g", "o"], "left_anti")
+    open_, kept = cut(long), cut(keyless)
+    while not open_.isEmpty():
+        first = open_.groupBy("g", "kind", "value").agg(F.min("o").alias("first"))
+        told = open_.join(first, ["g", "kind", "value"])
+        now = cut(told.groupBy("g", "o").agg(F.bool_and(F.col("o") == F.col("first")).alias("wins")).where("wins").select("g", "o"))
+        taken = open_.join(now, ["g", "o"], "left_semi").select("g", "kind", "value").distinct()
+        gone = open_.join(taken, ["g", "kind", "value"], "left_semi").select("g", "o").distinct()
+        open_ = cut(open_.join(gone, ["g", "o"], "left_anti"))
+        kept = kept.unionAll(now)
+    return df.join(kept.select(F.col("g").alias(group), F.col("o").alias(order)), [group, order], "left_semi").select(df.columns)
+
+
+def duplicate_titles(df: DataFrame, doi: str, title: str, order: str) -> DataFrame:
+    """One row per DOI, or without one per title of which only letters and digits count; the first stays."""
+    key = F.coalesce(F.concat(F.lit("doi:"), F.nullif(F.lower(F.trim(doi)), F.lit(""))), F.concat(F.lit("title:"), F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]", "")))
+    return df.groupBy(key.alias("key")).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("key", "r.*")

@@ -36,35 +36,46 @@ def ranked_search(df: DataFrame, terms: list[str], id_col: str, title: str, rest
     return df.where(all_in).withColumn("score", score).orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def stage_health(df: DataFrame, chain: str, stage: str, state: Column, age_days: Column, wip: int = 6, stalled_after: int = 14) -> DataFrame:
-    """Per chain and stage the active, done, blocked and stalled rows, penalties and a 0 to 100
-    score with its tier. Penalties: 40 for any blocked row, 8 for each active row over the limit, 6
-    for each stalled row and day over (at most 30), 2 for each active row."""
-    d = df.select(chain, stage, state.alias("__s"), age_days.alias("__a"))
-    n = d.groupBy(chain, stage).agg(
-        F.count_if(F.col("__s") == "active").alias("active"), F.count_if(F.col("__s") == "done").alias("done"), F.count_if(F.col("__s") == "blocked").alias("blocked"),
-        F.count_if((F.col("__s") == "active") & (F.col("__a") > stalled_after)).alias("stalled"), F.max(F.when(F.col("__s") == "active", F.col("__a"))).alias("oldest"),
-    )
-    over = F.greatest(F.lit(0), F.col("active") - wip)
-    late = F.when(F.col("stalled") > 0, F.least(F.lit(30), 6 * F.greatest(F.lit(0), F.coalesce("oldest", F.lit(0)) - stalled_after))).otherwise(0)
-    n = n.withColumn("penalty", F.when(F.col("blocked") > 0, 40).otherwise(0) + 8 * over + late + 2 * F.col("active"))
-    n = n.withColumn("score", F.greatest(F.lit(0), 100 - F.col("penalty")))
-    return n.withColumn("tier", F.when(F.col("blocked") > 0, "bad").when(F.col("score") >= 90, "good").when(F.col("score") >= 70, "watch").otherwise("bad")).drop("oldest")
-
-
-def health_status(sources: DataFrame, required: str, status: str) -> DataFrame:
-    """One row: the state of a run from its sources' states. With required sources the first that
-    holds: all failed; any failed; any warning; any ok. Without: all failed or missing, else
-    warnings decide."""
-    r = sources.agg(
-        F.count_if(F.col(required)).alias("req"), F.count_if(F.col(required) & F.col(status).isin("failed", "missing")).alias("req_failed"),
-        F.count_if(F.col(required) & (F.col(status) == "ok")).alias("req_ok"), F.count("*").alias("n"),
-        F.count_if(F.col(status).isin("failed", "missing")).alias("failed"), F.count_if(F.col(status) == "warning").alias("warned"),
-    )
-    warned = F.col("warned") + F.col("failed") - F.col("req_failed") > 0
-    with_req = F.when(F.col("req_failed") == F.col("req"), "failed").when(F.col("req_failed") > 0, "degraded").when(warned, "complete_with_warning").when(F.col("req_ok") > 0, "complete").otherwise("degraded")
-    without = F.when((F.col("n") > 0) & (F.col("failed") == F.col("n")), "failed").when(warned, "complete_with_warning").otherwise("complete")
-    return r.select(F.when(F.col("req") > 0, with_req).otherwise(without).alias("health"), "req", "failed", "warned")
+#: Points that a chain loses: for each blocked row, each decision that waits, each day by which a row is
+#: stalled, each row above a stage's limit.
+BLOCKED, WAITING, STALLED_DAY, STACKED = 40, 8, 6, 2
+
+
+def _stages(df: DataFrame, chain: str, stage: str, done: Column, blocked: Column, waiting: Column, age_days: Column, wip: int, stalled_after: int) -> DataFrame:
+    open_, late = ~done, ~done & (age_days > stalled_after)
+    n = df.groupBy(chain, stage).agg(
+        F.count_if(open_).alias("active"), F.count_if(done).alias("done"), F.count_if(open_ & blocked).alias("blocked"), F.count_if(open_ & waiting).alias("waiting"),
+        F.count_if(late).alias("stalled"), F.coalesce(F.sum(F.when(late, age_days - stalled_after)), F.lit(0)).alias("stalled_days"),
+    )
+    return n.withColumn("stacked", F.greatest(F.lit(0), F.col("active") - wip))
+
+
+def chain_health(df: DataFrame, chain: str, stage: str, done: Column, blocked: Column, waiting: Column, age_days: Column, wip: int = 6, stalled_after: int = 14, good: int = 90, warn: int = 70) -> DataFrame:
+    """Per chain a score of 0 to 100, its tier, the signals it lost points for and its bottleneck: the stage
+    with the heaviest single penalty, of equals the one with more active rows, then the smaller name.
+    Two aggregations; no window holds a chain's rows."""
+    n = _stages(df, chain, stage, done, blocked, waiting, age_days, wip, stalled_after)
+    weight = F.greatest(F.col("blocked") * BLOCKED, F.col("waiting") * WAITING, F.col("stalled_days") * STALLED_DAY, F.col("stacked") * STACKED, F.when(F.col("active") > 0, 0.1).otherwise(0.0)).cast("double")
+    reason = F.when(F.col("blocked") > 0, "blocked").when(F.col("waiting") > 0, "waiting").when(F.col("stalled") > 0, "stalled").when(F.col("stacked") > 0, "stacked").otherwise("active")
+    total = lambda c: F.sum(c).alias(c)
+    out = n.groupBy(chain).agg(*(total(c) for c in ("active", "done", "blocked", "waiting", "stalled", "stalled_days", "stacked")), F.min_by(F.struct(F.col(stage).alias("bottleneck"), reason.alias("reason")), F.struct(-weight, -F.col("active"), F.col(stage))).alias("b"))
+    lost = F.col("blocked") * BLOCKED + F.col("waiting") * WAITING + F.col("stalled_days") * STALLED_DAY + F.col("stacked") * STACKED
+    out = out.withColumn("score", F.greatest(F.lit(0), 100 - lost))
+    return out.withColumn("tier", F.when(F.col("blocked") > 0, "bad").when(F.col("score") >= good, "good").when(F.col("score") >= warn, "warn").otherwise("bad")).select(chain, "score", "tier", "active", "done", "blocked", "waiting", "stalled", "stalled_days", "stacked", "b.bottleneck", "b.reason")
+
+
+def health_status(sources: DataFrame, required: Column, status: Column, *by: str) -> DataFrame:
+    """The state of a run from its sources' states, one row per `by` (or one in all). With required
+    sources the first that holds: all failed; any failed; a warning; any ok. Without: all failed, else
+    warnings decide. A failed source that is not required is a warning."""
+    bad, warn = status.isin("failed", "missing"), status.isin("partial", "warning")
+    r = sources.groupBy(*by).agg(
+        F.count("*").alias("sources"), F.count_if(required).alias("required"), F.count_if(required & bad).alias("required_failed"), F.count_if(required & status.isin("ok", "ok_no_updates")).alias("required_ok"),
+        F.count_if(bad).alias("failed"), F.count_if(warn | (~required & bad)).alias("warnings"),
+    )
+    with_req = F.when(F.col("required_failed") == F.col("required"), "failed").when(F.col("required_failed") > 0, "degraded").when(F.col("warnings") > 0, "complete_with_warning").when(F.col("required_ok") > 0, "complete").otherwise("degraded")
+    without = F.when((F.col("sources") > 0) & (F.col("failed") == F.col("sources")), "failed").when(F.col("warnings") > 0, "complete_with_warning").otherwise("complete")
+    return r.select(*by, F.when(F.col("required") > 0, with_req).otherwise(without).alias("health"), "sources", "required", "failed", "warnings")
 
 
 def precision_recall(df: DataFrame, said: Column, true: Column) -> DataFrame:
@@ -97,8 +108,22 @@ def sections(df: DataFrame, doc: str, at: str, length: Column) -> DataFrame:
 
 
 def state_machine(df: DataFrame, key: str, event: str, order: list[str], moves: dict[str, str], start: str) -> DataFrame:
-    """Fold of each key's events in order through `moves` (event -> state; others keep the state)."""
+    """The state of each key after its events in order: as events that are not in `moves` (event ->
+    state) keep the state, it is that of the last event which is. One aggregate with map-side combine."""
     table = F.create_map(*(F.lit(x) for kv in moves.items() for x in kv))
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, event))).alias("e"))
-    state = F.aggregate("e", F.struct(F.lit(start).alias("state"), F.lit(0).alias("moves")), lambda acc, x: F.struct(F.coalesce(F.try_element_at(table, x[event]), acc["state"]).alias("state"), (acc["moves"] + F.when(F.try_element_at(table, x[event]).isNotNull(), 1).otherwise(0)).alias("moves")))
-    return rows.select(key, state.alias("s")).select(key, "s.*")
+    d = df.select(key, F.struct(*order).alias("__at"), F.try_element_at(table, F.col(event)).alias("__state"))
+    moved = F.when(F.col("__state").isNotNull(), F.col("__at"))
+    return d.groupBy(key).agg(F.coalesce(F.max_by("__state", moved), F.lit(start)).alias("state"), F.count("__state").cast("int").alias("moves"))
+
+
+def counts_by(df: DataFrame, key: Column, name: str, known: list[str] | None = None) -> DataFrame:
+    """(name, n); with `known` only these, and with zeros for those that no row has."""
+    if known is None:
+        return df.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
+    one = df.agg(*(F.count_if(key == k).alias(k) for k in known))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias(name), F.col(k).alias("n")) for k in known))).alias("x")).select("x.*")
+
+
+def share_by_member(df: DataFrame, member: Column, name: str, **flags: Column) -> DataFrame:
+    """Per member the number of rows and how many each flag holds for."""
+    return df.groupBy(member.alias(name)).agg(F.count("*").alias("total"), *(F.count_if(c).alias(k) for k, c in flags.items()))
