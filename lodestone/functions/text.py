@@ -181,3 +181,24 @@ def page_range(x: Column | str) -> Column:
 def failing(**rules: Column) -> Column:
     """Names of all rules that hold, in the order given."""
     return F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules.items())))
+
+
+def from_epoch(x: Column) -> Column:
+    """A time from seconds or, if the number is that large, milliseconds since 1970."""
+    return F.timestamp_seconds(F.when(F.abs(x) >= 100_000_000_000, x / 1000).otherwise(x))
+
+
+def duration_seconds(x: Column) -> Column:
+    """`1h 2m 3s`, in any part, or `1:02:03`, as whole seconds; 0 if there is none."""
+    part = lambda p: F.coalesce(F.regexp_extract(x, p, 1).try_cast("int"), F.lit(0))
+    colons = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{2})\s*$"
+    at = lambda k: F.coalesce(F.regexp_extract(x, colons, k).try_cast("int"), F.lit(0))
+    return F.when(x.rlike(colons), at(1) * 3600 + at(2) * 60 + at(3)).otherwise(part(r"(\d+)\s*h") * 3600 + part(r"(\d+)\s*m") * 60 + part(r"(\d+)\s*s"))
+
+
+def clock_hour(x: Column) -> Column:
+    """The hour of a 12-hour clock time with a word for the part of the day, 0 to 23; null without a time."""
+    hour = F.regexp_extract(x, r"(\d{1,2})\s*[:点]", 1).try_cast("int")
+    late = x.rlike("下午|晚上|(?i)pm")
+    noon, night = x.rlike("中午"), x.rlike("凌晨|上午|早上|(?i)am")
+    return F.when((late | (noon & (hour < 11))) & (hour < 12), hour + 12).when(night & (hour == 12), 0).otherwise(hour)
