@@ -42,6 +42,8 @@ from lodestone.llm.textkit import PACKED, groups, lists, mix, pack, signed, unpa
 PIVOTS = 4
 #: Coordinates of a point, points of a leaf, texts of a tile, edges of one hub verified together.
 GROUPS, FANOUT, TILE, HUB = 256, 32, 2048, 4096
+#: So many edges (24 bytes each) are broadcast to where the sets are.
+FEW_EDGES = 1 << 20
 #: Pairs that a task hands on at a time.
 PAIRS = 1 << 16
 #: Keys of a text, the smallest ones, by which a pair is recognised that an earlier node gives too.
@@ -236,10 +238,15 @@ def verified(edges: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     """The edges (a, b) whose sets reach the threshold. Edges are dealt out by their hub b, hubs
     with many edges in several parts; each task streams over its rows and holds one hub's set."""
     spark = edges.sparkSession
+    edges = settle(edges.select("a", "b"), "edges")
     hubs = edges.groupBy("b").agg(F.count("*").alias("k")).withColumn("parts", (F.col("k") / HUB).cast("long") + 1)
+    spokes = settle(edges.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a"), "spokes")
+    heads = hubs.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # few edges go to the sets, which then need no shuffle of their own; many meet them in one
+    near = F.broadcast if spokes.count() <= FEW_EDGES else lambda d: d
     s = sets.select("node", "set")
-    spokes = edges.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a").join(s.withColumnRenamed("node", "a"), "a").select("b", "part", F.col("a"), "set")
-    heads = hubs.join(s.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "set")
+    spokes = s.withColumnRenamed("node", "a").join(near(spokes), "a").select("b", "part", "a", "set")
+    heads = s.withColumnRenamed("node", "b").join(near(heads), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, None
