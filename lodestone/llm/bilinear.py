@@ -7,9 +7,11 @@ most frequent tokens have a class of their own, all others share class 0.
 
 The model predicts a class from the two before it: the prediction vector is the sum of the context
 vectors, each weighted per position and dimension; a class scores its target vector's product with
-it, plus a bias. It is trained by noise-contrastive estimation in numpy, data-parallel: every
-partition trains on all its training texts from the same start, and Spark averages the parameters
-by the tokens they saw; each of ROUNDS rounds uses another part of the training documents, so that
+it, plus a bias. It is trained by noise-contrastive estimation in numpy, data-parallel: a hash of id
+and text deals the training documents to pieces of about PIECE tokens, whose number follows from
+the counts, and a piece's documents come in the order of that hash; so neither files nor splits nor
+batches change what a piece sees. Each piece is trained on by itself from the same start, and Spark
+averages the parameters by the tokens they saw; each of ROUNDS rounds uses other pieces, so that
 each document is used once. For scoring, the products of a context with all classes are normalised
 by their sum (batched matrix products, remembered per context), so log-probabilities are proper. A
 token of class 0 counts with the class's probability times its smoothed share among such tokens.
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tables import parts, settle
+from lodestone.llm.tables import drop, parts, settle
 from lodestone.llm.textkit import Words, lists, signed, words_of
 
 FOLDS, HELD_OUT = 5, 1
@@ -39,6 +41,8 @@ VOCAB, HEAD, DIMS, ROUNDS = 1000, 65_536, 32, 2
 BATCH, NOISE, RATE = 1024, 96, 0.1
 END = np.uint64(0x5E17E4CE0FF1CE00)
 OTHER, START = 0, 1
+#: Tokens of a piece of the training documents on average, tokens that are shuffled together.
+PIECE, CHUNK = 1 << 20, 1 << 16
 #: Distinct tokens that a task counts before it hands them on.
 HELD_COUNTS = 1_000_000
 
@@ -200,30 +204,79 @@ class Trainer:
             getattr(m, k)[...] += RATE * x / np.sqrt(self.past[k])
 
 
-def _train_round(docs: DataFrame, text: str, model: Model, share: np.ndarray, look: Lookup) -> Model:
-    """Train on every partition of `docs` from `model` and average by tokens."""
-    spark = docs.sparkSession
-    given = spark.sparkContext.broadcast((model.q, model.r, model.c, model.b, share, look))
-    dims = model.q.shape[1]
+def dealt(docs: DataFrame, id_col: str, text: str, look: Lookup, pieces: int) -> DataFrame:
+    """(piece, key, classes): the classes of each document's tokens, and its place in the order of training."""
+    given = docs.sparkSession.sparkContext.broadcast(look)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, r, c, b, p, words = given.value
-        own = Model(q, r, c, b)
-        trainer = Trainer(own, p, 1 + TaskContext.get().partitionId())
-        seen = 0
-        for batch in batches:
-            for _, w in words_of(batch.column(0)):
+        words = given.value
+        for b in batches:
+            for at, w in words_of(b.column(1)):
                 h, first = _with_end(w)
-                cls = words.find(h)[2]
-                one, two = contexts(cls, first)
-                order = trainer.rng.permutation(len(cls))
-                for k in range(0, len(order), BATCH):
+                key = b.column(0).slice(at, len(first) - 1)
+                piece = np.asarray(key) % pieces
+                yield pa.RecordBatch.from_arrays([pa.array(piece), key, lists(words.find(h)[2].astype(np.int32), np.diff(first), pa.int32())], names=["piece", "key", "classes"])
+
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    return docs.select(key.alias("key"), F.col(text)).mapInArrow(run, "piece long, key long, classes array<int>")
+
+
+def _train_round(given_docs: DataFrame, model: Model, share: np.ndarray) -> Model:
+    """Train on every piece of `given_docs` (as `dealt`) from `model` and average by tokens."""
+    spark = given_docs.sparkSession
+    given = spark.sparkContext.broadcast((model.q, model.r, model.c, model.b, share))
+    dims = model.q.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, r, c, b, p = given.value
+        trainer, piece, first_piece = None, None, None
+        held, size, seen, sums = [], 0, 0, 0.0
+
+        def learn(least: int) -> None:
+            """Train on the held tokens, CHUNK at a time, while there are `least` or more."""
+            nonlocal held, size
+            if size < least:
+                return
+            cls, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            done = 0
+            while size and size >= least:
+                n = min(size, CHUNK)
+                order = done + trainer.rng.permutation(n)
+                for k in range(0, n, BATCH):
                     at = order[k : k + BATCH]
                     trainer.step(cls[at], one[at], two[at])
-                seen += len(cls)
-        if seen:
-            both = np.concatenate([own.q, own.r, own.c, np.pad(own.b[:, None], ((0, 0), (0, dims - 1)))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)), pa.int64()), pa.array([float(seen)] * len(both)), lists(both.ravel().astype(np.float64) * seen, np.full(len(both), dims), pa.float64())], names=["row", "weight", "vector"])
+                done, size = done + n, size - n
+            held = [(cls[done:], one[done:], two[done:])] if size else []
+
+        def closed() -> None:
+            nonlocal sums
+            learn(1)
+            m = trainer.m
+            sums = sums + here * np.concatenate([m.q, m.r, m.c, np.pad(m.b[:, None], ((0, 0), (0, dims - 1)))]).astype(np.float64)
+
+        here = 0
+        for batch in batches:
+            pieces, col = np.asarray(batch.column(0)), batch.column(1)
+            cuts = np.flatnonzero(np.diff(pieces)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pieces)], strict=True):
+                if hi == lo:
+                    continue
+                if pieces[lo] != piece:
+                    if trainer:
+                        closed()
+                    piece, here = int(pieces[lo]), 0
+                    first_piece = piece if first_piece is None else first_piece
+                    trainer = Trainer(Model(q, r, c, b), p, 1 + piece)
+                part = col.slice(lo, hi - lo)
+                cls = np.asarray(part.flatten()).astype(np.int64)
+                first = np.concatenate([[0], np.cumsum(np.asarray(part.value_lengths()))])
+                held.append((cls, *contexts(cls, first)))
+                size, here, seen = size + len(cls), here + len(cls), seen + len(cls)
+                learn(CHUNK)
+        if trainer:
+            closed()
+            k = len(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int64()), pa.array([float(seen)] * k), lists(sums.ravel(), np.full(k, dims), pa.float64()), pa.array([first_piece] * k, pa.int64())], names=["row", "weight", "vector", "piece"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -239,7 +292,9 @@ def _train_round(docs: DataFrame, text: str, model: Model, share: np.ndarray, lo
             yield pa.RecordBatch.from_arrays([pa.array(sorted(sums), pa.int64()), pa.array(x[:, 0]), lists(x[:, 1:].ravel(), np.full(len(x), dims), pa.float64())], names=["row", "weight", "vector"])
 
     schema = "row long, weight double, vector array<double>"
-    got = docs.select(text).mapInArrow(run, schema).repartition(parts(spark), "row").mapInArrow(total, schema).collect()  # one row for each vector of the model
+    ordered = given_docs.repartition(parts(spark), "piece").sortWithinPartitions("piece", "key").select("piece", "classes")
+    sums = ordered.mapInArrow(run, schema + ", piece long").repartition(parts(spark), "row").sortWithinPartitions("row", "piece")
+    got = sums.mapInArrow(total, schema).collect()  # one row for each vector of the model
     if not got:
         return model
     got.sort(key=lambda x: x["row"])
@@ -264,9 +319,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocab: in
     share[OTHER] = n_other + 1
     share /= share.sum()
     model = Model.start(share)
-    part = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(rounds))
+    pieces = rounds * -(-max(int(n_all), 1) // (rounds * PIECE))
+    classes = settle(dealt(train, id_col, text, look, pieces), "classes")
     for k in range(rounds):
-        model = _train_round(train.where(part == k), text, model, share, look)
+        model = _train_round(classes.where(F.col("piece") % rounds == k), model, share)
+    drop(classes)
     base_all = float(np.log10(n_all + 0.5 * (v_all + 1)))
     base_other = float(np.log10(n_other + 0.5 * (v_other + 1)))
     given = spark.sparkContext.broadcast((model.q, model.r, model.c, model.b, look))

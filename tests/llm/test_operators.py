@@ -470,6 +470,18 @@ def test_base_scores(spark, table, texts):
         assert r.score < 0
 
 
+def test_scores_do_not_depend_on_splits(spark, monkeypatch):
+    monkeypatch.setattr(bilinear, "PIECE", 700)
+    monkeypatch.setattr(bilinear, "CHUNK", 128)
+    made = docs(spark, some_texts(8, 60))
+    got = []
+    for n, size in ((1, "10000"), (7, "3")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append({r.doc_id: r.score for r in bilinear.score(made.repartition(n, F.hash("doc_id") + n), vocab=20, head=50).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][k], v, rel_tol=1e-9) for k, v in got[1].items())
+
+
 def test_model_is_normalised_and_learns():
     r = np.random.default_rng(0)
     n = 40
