@@ -92,6 +92,30 @@ def counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def frequent(counted: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most n of the most frequent tokens and their counts, the most frequent first. Two histograms
+    of bounded size find the least count, so that only these tokens reach the driver: levels of counts
+    (16 to a doubling) that fit are whole, of the next one tokens are taken by the order of their hashes."""
+    level, part = F.floor(F.log2("c") * 16), F.shiftrightunsigned("token", 52)
+
+    def fitting(hist: dict[int, int], keys: list[int], room: int) -> tuple[int | None, int]:
+        """The first key that doesn't fit, if any, and the room that is left before it."""
+        for k in keys:
+            if hist[k] > room:
+                return k, room
+            room -= hist[k]
+        return None, room
+
+    hist = {r["k"]: r["count"] for r in counted.groupBy(level.alias("k")).count().collect()}
+    last, room = fitting(hist, sorted(hist, reverse=True), n)
+    chosen = F.lit(True)
+    if last is not None:
+        hist = {r["k"]: r["count"] for r in counted.where(level == last).groupBy(part.alias("k")).count().collect()}
+        chosen = (level > last) | ((level == last) & (part < fitting(hist, sorted(hist), room)[0]))
+    top = counted.where(chosen).toPandas().sort_values(["c", "token"], ascending=[False, True])
+    return top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
+
+
 class Lookup:
     """The most frequent tokens with their counts and classes."""
 
@@ -309,8 +333,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocab: in
     train = docs.where(~held_out(id_col))
     counted = settle(counts(train, text), "counts")
     n_all, v_all = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counted.orderBy(F.desc("c"), "token").limit(head).toPandas()
-    tokens, c = top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
+    tokens, c = frequent(counted, head)
     look = Lookup(tokens, c, vocab)
     n_own = int(c[:vocab].sum())
     n_other, v_other = n_all - n_own, v_all - min(vocab, len(c))

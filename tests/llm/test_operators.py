@@ -482,6 +482,19 @@ def test_scores_do_not_depend_on_splits(spark, monkeypatch):
     assert got[0].keys() == got[1].keys() and all(math.isclose(got[0][k], v, rel_tol=1e-9) for k, v in got[1].items())
 
 
+def test_frequent_tokens(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(t), 1 + k // 40) for k, t in enumerate(r.integers(-(2**63), 2**63 - 1, 400))]
+    made = spark.createDataFrame(rows, "token long, c long")
+    best = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for n in (0, 1, 90, 400, 1000):
+        tokens, c = bilinear.frequent(made, n)
+        got = list(zip(tokens.view(np.int64).tolist(), c.tolist(), strict=True))
+        assert len(got) <= n and len(got) >= min(n, 400) - 1
+        assert [x[1] for x in got] == [x[1] for x in best[: len(got)]] and set(got) <= set(rows)
+    assert [len(x) for x in bilinear.frequent(made.limit(0), 5)] == [0, 0]
+
+
 def test_model_is_normalised_and_learns():
     r = np.random.default_rng(0)
     n = 40
