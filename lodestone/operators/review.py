@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
 
 
 def attention(issues: DataFrame, page: str, issue: str, order: str, impact: str, decision: str) -> DataFrame:
@@ -99,3 +100,104 @@ def region_signature(page: Column, kind: Column, region: Column, kinds: list[str
     cells = F.transform(F.slice(region, 1, 4), lambda v: (F.bround(v / step) * step).cast("long").cast("string"))
     inside = F.when(F.size(region) >= 4, F.array_join(cells, ",")).otherwise("")
     return F.when(kind.isin(*kinds), F.concat(F.lit('{"page":'), page.cast("string"), F.lit(',"region":['), inside, F.lit('],"type":"'), kind, F.lit('"}')))
+
+
+def latest_feedback(projects: DataFrame, feedback: DataFrame, key: str, order: str, outcome: str, next_check: str, note: str) -> DataFrame:
+    """`projects` (key, due_at, action) with the last feedback of each key applied: one without progress
+    moves due_at to its next check if it names one, a handled one sets the action to 'no_action' with the
+    trimmed note as its reason. Projects without feedback stay; `outcome` is null for them."""
+    last = feedback.groupBy(key).agg(F.max_by(F.struct(F.col(outcome).alias("outcome"), F.col(next_check).alias("next"), F.col(note).alias("note")), order).alias("__f"))
+    f = lambda c: F.col(f"__f.{c}")
+    moved, handled = (f("outcome") == "no_progress") & (F.coalesce(f("next"), F.lit("")) != ""), f("outcome") == "handled"
+    return projects.join(last, key, "left").select(key, F.when(moved, f("next")).otherwise(F.col("due_at")).alias("due_at"), F.when(handled, "no_action").otherwise(F.col("action")).alias("action"), F.when(handled, F.trim(F.coalesce(f("note"), F.lit("")))).alias("reason"), f("outcome").alias("outcome"))
+
+
+def reconciled(cards: DataFrame, decisions: DataFrame, signals: DataFrame, key: str, order: str) -> DataFrame:
+    """Cards (key, revision, question, status, state) after decisions (key, revision, question, order) and
+    signals (key). A decision replaces its card if its revision is not below the card's; of several the
+    highest revision wins, of equal ones the last. Keys without a card get one. A signal closes a card
+    that is there after the decisions, and nothing else."""
+    best = decisions.withColumn("__r", F.coalesce("revision", F.lit(0))).groupBy(key).agg(F.max_by(F.struct(F.col("__r").alias("revision"), "question"), F.struct("__r", order)).alias("__d"))
+    both = cards.withColumn("__card", F.lit(True)).join(best, key, "full")
+    taken = F.col("__d").isNotNull() & (F.col("__d.revision") >= F.coalesce("revision", F.lit(0)))
+    closed = signals.select(key).distinct().withColumn("__closed", F.lit(True))
+    now = both.select(key, *(F.when(taken, new).otherwise(old).alias(c) for c, new, old in (
+        ("revision", F.col("__d.revision"), F.col("revision")), ("question", F.coalesce("__d.question", F.col(key).cast("string")), F.col("question")),
+        ("status", F.lit("review"), F.when(F.col("__card"), F.col("status")).otherwise("review")), ("state", F.lit("pending"), F.col("state")),
+    )))
+    done = F.col("__closed").isNotNull()
+    return now.join(closed, key, "left").select(key, "revision", "question", F.when(done, "done").otherwise(F.col("status")).alias("status"), F.when(done, "auto_closed").otherwise(F.col("state")).alias("state"))
+
+
+def acceptance(operations: DataFrame, requested: DataFrame, run: str, op: str, action: str) -> DataFrame:
+    """Per run: operations asked for, and a code. 'operation_ids_conflict' if none is asked for, one is
+    asked for twice or unknown, or the run's own ids are ambiguous; 'blocked_operation' if one of them is
+    blocked; else 'ok'. Runs that only `requested` knows are unknown, so theirs conflict."""
+    own = operations.groupBy(run, op).agg(F.count("*").alias("__n"), F.bool_or(F.col(action) == "blocked").alias("__blocked"))
+    asked = requested.groupBy(run, op).agg(F.count("*").alias("__k"))
+    n = own.join(asked, [run, op], "full").groupBy(run).agg(F.coalesce(F.sum("__k"), F.lit(0).cast("long")).alias("asked"), F.bool_or((F.col("__k") > 1) | (F.col("__n") > 1) | F.col("__n").isNull()).alias("bad"), F.bool_or(F.col("__k").isNotNull() & F.col("__blocked")).alias("held"))
+    conflict = (F.col("asked") == 0) | F.coalesce("bad", F.lit(False))
+    return n.select(run, "asked", F.when(conflict, "operation_ids_conflict").when(F.col("held"), "blocked_operation").otherwise("ok").alias("code"))
+
+
+def reused_attempts(attempts: DataFrame, order: str, key: list[str]) -> DataFrame:
+    """`attempts` with attempt_id, from a hash of their key, and first_order: the first attempt with this
+    key if it is an earlier one, else null. A minimum per key meets the rows again; none are gathered."""
+    text = F.to_json(F.struct(*sorted(key)), {"ignoreNullFields": "false"})
+    named = attempts.withColumn("attempt_id", F.concat(F.lit("attempt-"), F.left(F.sha2(text, 256), F.lit(16))))
+    first = named.groupBy("attempt_id").agg(F.min(order).alias("__first"))
+    return named.join(first, "attempt_id").withColumn("first_order", F.when(F.col("__first") < F.col(order), F.col("__first"))).drop("__first")
+
+
+def changed_ids(previous: DataFrame, following: DataFrame, key: str, volatile: list[str]) -> DataFrame:
+    """Keys that are in both and differ in a column that is not volatile (null equals null)."""
+    kept = sorted(set(previous.columns) & set(following.columns) - {key, *volatile})
+    return previous.select(key, F.struct(*kept).alias("__was")).join(following.select(key, F.struct(*kept).alias("__now")), key).where(~F.col("__was").eqNullSafe(F.col("__now"))).select(key).distinct()
+
+
+def carried(start: Column, stays: Column, window: WindowSpec) -> Column:
+    """Rows at which a state begins, or that come after one that is in it and may stay in it."""
+    start, stays = F.coalesce(start, F.lit(False)), F.coalesce(stays, F.lit(False))
+    return F.coalesce(F.last(F.when(start | ~stays, start), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+
+
+def page_types(pages: DataFrame, document: str, page: str, marks: dict[str, tuple[Column, Column]], cells: Column, dense: Column, short: Column) -> DataFrame:
+    """`pages` with type. Each mark (begins, goes on) carries over to following pages, earlier marks before
+    later ones; then tables of cells, dense tables and short pages right after these, else narrative. The
+    window is a document's pages."""
+    w = Window.partitionBy(document).orderBy(page)
+    free, kind = F.lit(True), F.lit(None).cast("string")
+    for name, (begins, goes_on) in marks.items():
+        pages = pages.withColumn(f"__{name}", free & begins).withColumn(f"__{name}", carried(F.col(f"__{name}"), free & goes_on, w))
+        kind, free = F.coalesce(kind, F.when(F.col(f"__{name}"), name)), free & ~F.col(f"__{name}")
+    whole = free & ~cells & dense
+    pages = pages.withColumn("__dense", whole).withColumn("__goes_on", carried(F.col("__dense"), free & ~cells & short, w))
+    kind = F.coalesce(kind, F.when(cells, "cell_table").when(F.col("__dense"), "dense_table").when(F.col("__goes_on"), "dense_table_continuation").otherwise("narrative"))
+    return pages.withColumn("type", kind).drop(*(f"__{name}" for name in marks), "__dense", "__goes_on")
+
+
+def placed(nodes: DataFrame, column: Column, order: str, within: list[str], width: int = 340, height: int = 170) -> DataFrame:
+    """`nodes` with x and y: the place of their column in the graph that `within` names, and how many
+    nodes of it come before."""
+    row = F.row_number().over(Window.partitionBy(*within, "__c").orderBy(order)) - 1
+    return nodes.withColumn("__c", column).withColumn("y", (row * height).cast("long")).withColumn("x", (F.col("__c") * width).cast("long")).drop("__c")
+
+
+def width_of_title(text: Column) -> Column:
+    """UTF-16 units, those outside ASCII twice, halved and rounded up."""
+    ascii_ = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    astral = F.length(text) - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]+", ""))
+    return F.floor((2 * F.length(text) - ascii_ + 2 * astral + 1) / 2)
+
+
+def clamped(value: Column) -> Column:
+    """A number between 0 and 1; what is none is 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value.try_cast("double"), F.lit(0.0))))
+
+
+def overlap(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """(share of the smaller area that two boxes (x0, y0, x1, y1) share, share of the smaller width); areas
+    and widths below 1 count as 1."""
+    across, down = (F.greatest(F.lit(0.0), F.least(a[k + 2], b[k + 2]) - F.greatest(a[k], b[k])) for k in (0, 1))
+    area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+    return across * down / F.greatest(F.lit(1.0), F.least(area(a), area(b))), across / F.greatest(F.lit(1.0), F.least(a[2] - a[0], b[2] - b[0]))

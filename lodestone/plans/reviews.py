@@ -154,3 +154,81 @@ def nodes_by_type(spark, sf_dir):
     n = table(spark, sf_dir, "events").groupBy(kind.alias("type")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
     place = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("type"))
     return n.withColumn("place", F.when(place > 0, place - 1).otherwise(99)).orderBy("place", "type")
+
+
+@query("""WITH p AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS due_at, o_orderpriority AS action FROM orders), f AS (SELECT l_orderkey AS o_orderkey, l_shipdate, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'no_progress' WHEN 'R' THEN 'handled' ELSE 'seen' END AS outcome, CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, '%Y-%m-%d') END AS nxt, ' n' || l_partkey || ' ' AS note FROM lineitem),
+l AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM f)
+SELECT o_orderkey, CASE WHEN outcome = 'no_progress' AND nxt IS NOT NULL THEN nxt ELSE due_at END AS due_at, CASE WHEN outcome = 'handled' THEN 'no_action' ELSE action END AS action, CASE WHEN outcome = 'handled' THEN trim(note) END AS reason, outcome FROM p LEFT JOIN (SELECT * FROM l WHERE rn = 1) USING (o_orderkey)""")
+def feedback_patch(spark, sf_dir):
+    p = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("due_at"), F.col("o_orderpriority").alias("action"))
+    flag = F.col("l_returnflag")
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("at"), F.when(flag == "A", "no_progress").when(flag == "R", "handled").otherwise("seen").alias("outcome"), F.when(F.col("l_linestatus") == "F", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("nxt"), F.concat(F.lit(" n"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("note"))
+    return review.latest_feedback(p, f, "o_orderkey", "at", "outcome", "nxt", "note")
+
+
+@query("""WITH c AS (SELECT o_custkey AS k, max(o_orderkey % 4) AS revision, 'old' AS question, 'todo' AS status, 'open' AS state FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), d AS (SELECT o_custkey AS k, o_orderkey % 5 AS revision, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS question, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 5 DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus = 'O'),
+s AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 170000), b AS (SELECT k, c.k IS NOT NULL AS card, coalesce(d.revision >= coalesce(c.revision, 0), false) AS taken, c.revision AS r0, d.revision AS r1, c.question AS q0, d.question AS q1, c.status, c.state FROM c FULL JOIN (SELECT * FROM d WHERE rn = 1) d USING (k))
+SELECT k, CASE WHEN taken THEN r1 ELSE r0 END AS revision, CASE WHEN taken THEN coalesce(q1, k::VARCHAR) ELSE q0 END AS question, CASE WHEN s.k IS NOT NULL THEN 'done' WHEN taken THEN 'review' ELSE status END AS status, CASE WHEN s.k IS NOT NULL THEN 'auto_closed' WHEN taken THEN 'pending' ELSE state END AS state FROM b LEFT JOIN s USING (k)""")
+def reconcile_decisions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey"))
+    cards = o.where("o_orderstatus = 'F'").groupBy("k").agg(F.max(F.col("o_orderkey") % 4).alias("revision")).withColumns({"question": F.lit("old"), "status": F.lit("todo"), "state": F.lit("open")})
+    decisions = o.where("o_orderstatus = 'O'").select("k", (F.col("o_orderkey") % 5).alias("revision"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderpriority")).alias("question"), "o_orderkey")
+    return review.reconciled(cards, decisions, o.where("o_totalprice > 170000").select("k"), "k", "o_orderkey")
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, count(*) AS n, bool_or(l_returnflag = 'A') AS blocked FROM lineitem GROUP BY 1, 2), q AS (SELECT o_orderkey AS l_orderkey, 1 + o_orderkey % 3 AS l_linenumber, 1 + (o_orderkey % 50 = 0)::INTEGER AS k FROM orders WHERE o_orderpriority <> '5-LOW'),
+b AS (SELECT coalesce(o.l_orderkey, q.l_orderkey) AS l_orderkey, n, k, blocked FROM o FULL JOIN q ON o.l_orderkey = q.l_orderkey AND o.l_linenumber = q.l_linenumber)
+SELECT l_orderkey, coalesce(sum(k), 0)::BIGINT AS asked, CASE WHEN sum(k) IS NULL OR bool_or(coalesce(k > 1, false) OR coalesce(n > 1, false) OR n IS NULL) THEN 'operation_ids_conflict' WHEN bool_or(k IS NOT NULL AND blocked) THEN 'blocked_operation' ELSE 'ok' END AS code FROM b GROUP BY 1""")
+def accepted_operations(spark, sf_dir):
+    operations = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.when(F.col("l_returnflag") == "A", "blocked").otherwise("update").alias("action"))
+    asked = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("l_orderkey"), (1 + F.col("o_orderkey") % 3).alias("l_linenumber"), F.explode(F.sequence(F.lit(1), F.when(F.col("o_orderkey") % 50 == 0, 2).otherwise(1))).alias("copy"))
+    return review.acceptance(operations, asked, "l_orderkey", "l_linenumber", "action")
+
+
+@query("""WITH a AS (SELECT event_id, 'attempt-' || left(sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 16) AS attempt_id FROM events), f AS (SELECT attempt_id, min(event_id) AS f FROM a GROUP BY 1)
+SELECT event_id, attempt_id, CASE WHEN f < event_id THEN f END AS first_order FROM a JOIN f USING (attempt_id)""")
+def attempt_guard(spark, sf_dir):
+    return review.reused_attempts(table(spark, sf_dir, "events"), "event_id", ["user_id", "event_type"]).select("event_id", "attempt_id", "first_order")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_orderpriority IS NOT NULL AND o_custkey % 9 = 0)")
+def changed_rows(spark, sf_dir):
+    was = table(spark, sf_dir, "orders").withColumn("selected", F.lit(True))
+    now = was.withColumn("selected", F.col("o_orderkey") % 2 == 0).withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn("o_orderpriority", F.when(F.col("o_custkey") % 9 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderpriority")))
+    return review.changed_ids(was, now, "o_orderkey", ["selected"])
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type = 'signup' AS s1, value >= 60 AS g1, event_type = 'error' AS s2, value < 120 AS g2, value > 170 AS cells, value > 130 AND event_type = 'view' AS dense, value < 90 AS short FROM events),
+b AS (SELECT *, sum((s1 OR NOT g1)::INTEGER) OVER w AS n1 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT *, coalesce(first_value(s1) OVER (PARTITION BY user_id, n1 ORDER BY event_id), false) AND n1 > 0 AS nav FROM b),
+d AS (SELECT *, sum(((NOT nav AND s2) OR nav OR NOT g2)::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS n2 FROM c), e AS (SELECT *, first_value(NOT nav AND s2) OVER (PARTITION BY user_id, n2 ORDER BY event_id) AND n2 > 0 AS acr FROM d),
+f AS (SELECT *, NOT nav AND NOT acr AND NOT cells AND dense AS whole, NOT nav AND NOT acr AND NOT cells AND short AS stays FROM e), g AS (SELECT *, sum((whole OR NOT stays)::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS n3 FROM f), h AS (SELECT *, first_value(whole) OVER (PARTITION BY user_id, n3 ORDER BY event_id) AND n3 > 0 AS goes FROM g)
+SELECT user_id, event_id, CASE WHEN nav THEN 'navigation' WHEN acr THEN 'acronym' WHEN cells THEN 'cell_table' WHEN whole THEN 'dense_table' WHEN goes THEN 'dense_table_continuation' ELSE 'narrative' END AS type FROM h""")
+def page_types(spark, sf_dir):
+    t, v = F.col("event_type"), F.col("value")
+    marks = {"navigation": (t == "signup", v >= 60), "acronym": (t == "error", v < 120)}
+    return review.page_types(table(spark, sf_dir, "events"), "user_id", "event_id", marks, v > 170, (v > 130) & (t == "view"), v < 90).select("user_id", "event_id", "type")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 0 ELSE 340 END::BIGINT AS x, (row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) - 1) * 170 AS y FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)""")
+def flow_layout(spark, sf_dir):
+    """Each conversation's turns in two columns of its own."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
+    user = F.when(F.col("role") == "user", 0).otherwise(1)
+    return review.placed(c, user, "turn", within=["conv_id"]).select("conv_id", "turn", "x", "y")
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') || chr(10024) || chr(128135) AS t FROM documents)
+SELECT doc_id, ((2 * length(t) - (length(t) - length(regexp_replace(t, '[\\x00-\\x7F]+', '', 'g'))) + 2 * (length(t) - length(regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]+', '', 'g'))) + 1) // 2)::BIGINT AS width FROM d""")
+def title_width(spark, sf_dir):
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit("✨\U0001f487"))
+    return table(spark, sf_dir, "documents").select("doc_id", review.width_of_title(t).alias("width"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x0, l_quantity + l_linenumber * 4 AS x1, l_tax * 100 AS y0, l_tax * 100 + 5 AS y1, 20.0 AS u0, 40.0 AS u1, 2.0 AS v0, 6.0 AS v1 FROM lineitem),
+s AS (SELECT *, greatest(0, least(x1, u1) - greatest(x0, u0)) AS across, greatest(0, least(y1, v1) - greatest(y0, v0)) AS down FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(across * down / greatest(1, least((x1 - x0) * (y1 - y0), 80)), 6) AS area, round(across / greatest(1, least(x1 - x0, 20)), 6) AS width, greatest(0, least(1, coalesce(try_cast(CASE WHEN l_linenumber = 2 THEN 'much' ELSE ((x0 - 10) / 20)::VARCHAR END AS DOUBLE), 0))) AS confidence FROM s""")
+def box_overlaps(spark, sf_dir):
+    q, y = F.col("l_quantity"), F.col("l_tax") * 100
+    area, width = review.overlap((q, y, q + F.col("l_linenumber") * 4, y + 5), tuple(map(F.lit, (20.0, 2.0, 40.0, 6.0))))
+    sure = F.when(F.col("l_linenumber") == 2, "much").otherwise(((q - 10) / 20).cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(area, 6).alias("area"), F.round(width, 6).alias("width"), review.clamped(sure).alias("confidence"))
