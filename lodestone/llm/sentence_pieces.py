@@ -63,7 +63,7 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 class PieceModel:
     """Vocabulary of a BPE model file with byte fallback and an identity normaliser that puts one
-    space mark before the text."""
+    space mark before the text. A model of another type, or with other flags, is an error."""
 
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -77,14 +77,23 @@ class PieceModel:
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
+        trainer: dict = {}
+        normaliser: dict = {}
         for number, value in _fields(raw):
             if number == 1:
                 piece = dict(_fields(value))
                 self.pieces.append(piece[1].decode())
                 self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 self.kinds.append(piece.get(3, self.NORMAL))
-            elif number == 3 and dict(_fields(value)).get(2):
-                raise ValueError("only identity normalisers are supported")
+            elif number == 2:
+                trainer = dict(_fields(value))
+            elif number == 3:
+                normaliser = dict(_fields(value))
+        # fixed values: field numbers and defaults of the model file's format
+        if trainer.get(3, 1) != 2 or not trainer.get(35, 0) or trainer.get(24, 0):
+            raise ValueError("only merge models with byte fallback and space marks in front are supported")
+        if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+            raise ValueError("only identity normalisers that put a space mark in front, keep all spaces and mark them are supported")
         if self.USER in self.kinds or self.UNUSED in self.kinds:
             raise ValueError("user-defined and unused pieces are not supported")
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == self.NORMAL}
@@ -172,7 +181,7 @@ class PieceModel:
         for lengths in begins:
             if not lengths or lengths[0] != 1:
                 lengths.insert(0, 1)
-        failed = 0
+        failed = bytearray((n >> 3) + 1)
         starts: list[int] = []
         tries: list[int] = []
         pos, option = 0, len(begins[0]) - 1
@@ -181,7 +190,7 @@ class PieceModel:
             placed = False
             while option >= 0:
                 end = pos + begins[pos][option]
-                if not failed >> end & 1 and (last is None or self.fits(last, chunk[pos:end])):
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.fits(last, chunk[pos:end])):
                     placed = True
                     break
                 option -= 1
@@ -193,7 +202,7 @@ class PieceModel:
             else:
                 if not starts:
                     raise ValueError("no sequence of pieces fits")
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 pos = starts.pop()
                 option = tries.pop() - 1
         return [chunk[a:b] for a, b in zip(starts, [*starts[1:], n], strict=True)]

@@ -224,6 +224,17 @@ def test_two_stage_order():
         assert key == sorted(key)
 
 
+@pytest.mark.parametrize("flags", [b"\x12\x00\x18\x00\x20\x00", b"\x12\x00\x18\x01\x20\x01", b"\x12\x02xy\x18\x01"])
+def test_other_models_are_errors(tmp_path, flags):
+    raw = open(MODEL, "rb").read()
+    known = b"\x12\x00\x18\x01\x20\x00"
+    assert raw.count(known) == 1 and len(flags) == len(known)
+    path = tmp_path / "other.model"
+    path.write_bytes(raw.replace(known, flags))
+    with pytest.raises(ValueError, match="supported"):
+        sentence_pieces.PieceModel(str(path))
+
+
 # 4 SentencePiece
 def test_sentence_pieces(spark, table, texts):
     import sentencepiece
@@ -239,6 +250,8 @@ def test_sentence_pieces(spark, table, texts):
     for _ in range(500):
         ids = [r.choice([0, 1, 2, r.randrange(3, 259), r.randrange(32000)]) for _ in range(5)]
         assert m.decode(ids) == sp.decode(ids)
+    for t in ["".join(r.choice("theationsé日") for _ in range(30_000)), "=" * 20_000, "ab" * 10_000, " " * 10_000 + "x"]:
+        assert m.encode(t) == sp.encode(t)
     both = sentence_pieces.decode(sentence_pieces.encode(table, MODEL), MODEL)
     assert all(r.token_ids == sp.encode(r.text or "") and r.decoded == sp.decode(r.token_ids) for r in both.collect())
     with pytest.raises(ValueError, match="exist already"):
