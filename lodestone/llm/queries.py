@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bilinear, decontaminate, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, suffix_dedup, training_order, url_trust
+from lodestone.llm import bilinear, decontaminate, filter_audit, line_templates, ngram_join, quality_rules, reply_trees, sentence_pieces, source_mix, suffix_dedup, training_order, turn_repair, url_trust
+from lodestone.llm.sql import OP11_SQL, OP12_SQL
 from lodestone.llm.tables import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,9 +99,22 @@ def op10_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bilinear.score(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(rows), rows)
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op3_suffix_dedup, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust, op10_bilinear)}
+    return {f.__name__: f for f in (op1_reply_trees, op2_ngram_join, op3_suffix_dedup, op4_sentence_pieces, op5_quality_rules, op6_decontaminate, op7_line_templates, op8_training_order, op9_url_trust, op10_bilinear, op11_filter_audit, op12_turn_repair, op13_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_reply_trees": OP1_SQL}
+    return {"op1_reply_trees": OP1_SQL, "op11_filter_audit": OP11_SQL, "op12_turn_repair": OP12_SQL}
