@@ -47,6 +47,7 @@ def failures(docs: DataFrame, id_col: str, text: str, min_words: int = 200, dist
     base = base.withColumns({"__mask": mask, "__content": F.unhex(F.sha2("__text", 256))}).drop("__words", "__text", text)
     base = settle(base, "masks")
     first = base.where(F.col(id_col).isNotNull()).groupBy("__content").agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    first = settle(first, "first-ids")  # read anew, so that the join below deals both sides and can split a text with many copies
     repeats = F.coalesce(F.col(id_col) > F.col("__first"), F.lit(False))
     return base.join(first, "__content", "left").withColumn("__mask", F.col("__mask") + F.when(repeats, 16).otherwise(0)).drop("__content", "__first")
 
