@@ -276,14 +276,6 @@ def type_quota(spark, sf_dir):
     return dedup.by_type_quota(e, "event_type", {"click": 10, "view": 4, "error": 8}, F.desc("value"), "event_id").select("event_id", "event_type")
 
 
-@query("""WITH s AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations) SELECT conv_id, turn, ((upto - n) // 400)::BIGINT AS batch, upto <= 600 AS fits FROM s""")
-def size_batches(spark, sf_dir):
-    """Rows by running size: the batch of a bounded size they begin in, and whether they fit a budget."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"), F.sum(F.length("text")).over(w).alias("upto"))
-    return c.select("conv_id", "turn", F.expr("(upto - n) div 400").alias("batch"), (F.col("upto") <= 600).alias("fits"))
-
-
 @query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS place, CASE o_orderstatus WHEN 'P' THEN 'decide' WHEN 'O' THEN 'continue' ELSE 'archive' END AS action FROM orders""")
 def board_order(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", F.desc("o_orderdate"), "o_orderkey")
