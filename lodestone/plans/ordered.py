@@ -80,8 +80,8 @@ def line_blocks(spark, sf_dir):
 
 
 @query(f"""WITH l AS ({_LINES_SQL}), m AS (SELECT page, greatest(10.0, quantile_cont(y1 - y0, 0.5) * 1.85) AS gap FROM l GROUP BY page),
- n AS (SELECT l.*, CASE WHEN line LIKE '12. %' OR y0 - lag(y1) OVER w > gap THEN 1 ELSE 0 END AS new FROM l JOIN m USING (page) WINDOW w AS (PARTITION BY page ORDER BY y0, x0)),
- p AS (SELECT *, sum(CASE WHEN first THEN 0 ELSE new END) OVER (PARTITION BY page ORDER BY y0, x0) AS paragraph FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0) = 1 AS first FROM n))
-SELECT page, paragraph::BIGINT AS paragraph, count(*)::INTEGER AS lines, list_reduce(list(line ORDER BY y0, x0), lambda a, x: CASE WHEN a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text FROM p GROUP BY page, paragraph""")
+ n AS (SELECT l.*, CASE WHEN line LIKE '12. %' OR y0 - lag(y1) OVER w > gap THEN 1 ELSE 0 END AS new FROM l JOIN m USING (page) WINDOW w AS (PARTITION BY page ORDER BY y0, x0, line)),
+ p AS (SELECT *, sum(CASE WHEN first THEN 0 ELSE new END) OVER (PARTITION BY page ORDER BY y0, x0, line) AS paragraph FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, line) = 1 AS first FROM n))
+SELECT page, paragraph::BIGINT AS paragraph, count(*)::INTEGER AS lines, list_reduce(list(line ORDER BY y0, x0, line), lambda a, x: CASE WHEN a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text FROM p GROUP BY page, paragraph""")
 def line_paragraphs(spark, sf_dir):
-    return ordered.paragraphs(_lines(spark, sf_dir), "page", ["y0", "x0"], "y0", "y1", "line")
+    return ordered.paragraphs(_lines(spark, sf_dir), "page", ["y0", "x0", "line"], "y0", "y1", "line")
