@@ -143,24 +143,27 @@ def tier(score: Column, novelty_: Column, gate: Column, must_read: float = 0.62,
     return F.when(gate.isin("stale", "future"), "archive").when((score >= must_read) & (novelty_ >= must_novelty), "must_read").when(score >= skim, "skim").when(score >= collapsed, "collapsed").otherwise("archive")
 
 
-def _month_number(names: str, name: Column) -> Column:
-    """1 to 12, or 0 for a name that is none of the three-letter `names` in a row."""
-    at = F.instr(F.lit(names), name)
-    return F.when((F.length(name) == 3) & (at > 0) & ((at - 1) % 3 == 0), ((at - 1) / 3 + 1).cast("int")).otherwise(0)
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def _month_number(name: Column) -> Column:
+    """1 to 12 for a month's name, whole or its first three letters, else 0."""
+    at = lambda names: F.array_position(F.array(*map(F.lit, names)), F.lower(name))
+    return F.greatest(at(_MONTHS), at([m[:3] for m in _MONTHS])).cast("int")
 
 
 def normalise_date(x: Column | str) -> Column:
     """YYYY-MM-DD from `2024-3-7` or `2024/3/7` anywhere in the text, `2024 Mar 7`, an RFC 2822 date, or
-    an ISO date or time at the start; '' if there is none, or if the first form names no real day."""
+    an ISO date or time at the start, with or without hyphens (months whole or as three letters); '' if there is none, or if the first form names no real day."""
     t = compact(x)
     day = lambda y, m, d: F.date_format(F.try_to_date(F.format_string("%s-%s-%s", y, m, d), "y-M-d"), "yyyy-MM-dd")
-    numbers, words, mail = r"\b(20[0-9]{2})[-/]([0-9]{1,2})[-/]([0-9]{1,2})\b", r"\b(20[0-9]{2})\s+([A-Za-z]{3})[A-Za-z]{0,6}\s+([0-9]{1,2})\b", r"^(?:[A-Za-z]{3},?\s+)?([0-9]{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+([0-9]{4})\b"
+    numbers, words, mail = r"\b(20[0-9]{2})[-/]([0-9]{1,2})[-/]([0-9]{1,2})\b", r"\b(20[0-9]{2})\s+([A-Za-z]{3,9})\s+([0-9]{1,2})\b", r"^(?:[A-Za-z]{3},?\s+)?([0-9]{1,2})\s+([A-Za-z]{3,9})\s+([0-9]{4})\b"
     part = lambda p, k: F.regexp_extract(t, p, k)
-    month = lambda p: ((_month_number("janfebmaraprmayjunjulaugsepoctnovdec", F.lower(part(p, 2)))))
-    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:$|[T ])"
+    month = lambda p: _month_number(part(p, 2))
+    iso = r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})(?:$|[T ])"
     first = F.when(t.rlike(numbers), F.coalesce(day(part(numbers, 1), part(numbers, 2), part(numbers, 3)), F.lit("")))
     named = lambda p, y, d: F.when(t.rlike(p) & (month(p) > 0), day(part(p, y), month(p).cast("string"), part(p, d)))
-    return F.coalesce(first, named(words, 1, 3), named(mail, 3, 1), F.when(t.rlike(iso), day(part(iso, 1), part(iso, 2), part(iso, 3))), F.lit(""))
+    return F.coalesce(first, named(words, 1, 3), named(mail, 3, 1), F.when(t.rlike(iso), day(part(iso, 1), part(iso, 3), part(iso, 4))), F.lit(""))
 
 
 def error_rate(a: Column, b: Column) -> Column:

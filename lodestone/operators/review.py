@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from lodestone.functions.text import failing
+
 
 def attention(issues: DataFrame, page: str, issue: str, order: str, impact: str, decision: str) -> DataFrame:
     """Per page: actionable, hard_blocker, needs_review, tip and ignored issues. Of the rows that repeat an
@@ -201,3 +206,38 @@ def overlap(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, C
     across, down = (F.greatest(F.lit(0.0), F.least(a[k + 2], b[k + 2]) - F.greatest(a[k], b[k])) for k in (0, 1))
     area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
     return across * down / F.greatest(F.lit(1.0), F.least(area(a), area(b))), across / F.greatest(F.lit(1.0), F.least(a[2] - a[0], b[2] - b[0]))
+
+
+def preflight(items: DataFrame, page: str, key: str, family: str, blocked: str, order: str) -> DataFrame:
+    """(page, family, keys, source_count, status, blocked_reasons): what a repair of each page would do. A
+    page whose items are of more than one family, or of which an item has reasons of its own, is blocked;
+    its reasons come in the order of its items, each once. A missing family is a family too."""
+    said = F.coalesce(family, F.lit(""))
+    rows = items.groupBy(page).agg(F.sort_array(F.collect_set(said)).alias("__f"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.coalesce(blocked, F.array().cast("array<string>")).alias("b")))).alias("__items"))
+    several = F.size("__f") > 1
+    own = F.flatten(F.transform("__items", lambda x: x["b"]))
+    mixed = F.when(several, F.array(F.concat(F.lit("families that do not go together: "), F.array_join("__f", ", ")))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("__reasons", F.array_distinct(F.concat(own, mixed)))
+    return rows.select(page, F.when(~several, F.get("__f", F.lit(0))).alias("family"), F.transform("__items", lambda x: x["k"]).alias("keys"), F.size("__items").alias("source_count"), F.when(F.size("__reasons") > 0, "blocked").otherwise("ready").alias("status"), F.col("__reasons").alias("blocked_reasons"))
+
+
+def preflight_totals(plans: DataFrame, budget: int = 12) -> DataFrame:
+    """One row: pages ready and blocked, and whether the ready ones, a request each, are in the budget."""
+    ready = F.count_if(F.col("status") == "ready")
+    return plans.agg(ready.alias("ready_pages"), F.count_if(F.col("status") == "blocked").alias("blocked_pages"), (ready <= budget).alias("budget_ok"))
+
+
+def comment_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, change) between two snapshots with content_hash, human_edited, lifecycle_state,
+    finding_state and replies; a comment may have several changes: added, edited, withdrawn, restored and
+    replied. One that is gone is withdrawn. Withdrawal and its end are no edits by themselves."""
+    fields = ("content_hash", "human_edited", "lifecycle_state", "finding_state", "replies")
+    b, a = (d.select(key, F.struct(*fields).alias(n)) for d, n in ((before, "b"), (after, "a")))
+    rows = b.join(a, key, "full_outer")
+    here, gone = F.col("a").isNotNull(), F.col("b").isNotNull()
+    both = here & gone
+    out = lambda s: F.coalesce(F.col(f"{s}.lifecycle_state") == "withdrawn", F.lit(False)) | F.coalesce(F.col(f"{s}.finding_state") == "withdrawn", F.lit(False))
+    differs = lambda *names: reduce(or_, (~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names))
+    edited = differs("content_hash", "human_edited") | (differs("lifecycle_state", "finding_state") & (out("a") == out("b")))
+    rules = {"added": ~gone, "edited": both & edited, "withdrawn": ~here | (both & ~out("b") & out("a")), "restored": both & out("b") & ~out("a"), "replied": both & differs("replies")}
+    return rows.select(key, F.explode(failing(**rules)).alias("change"))

@@ -30,11 +30,12 @@ _EVENT = "event_id long, user_id long, event_type string, value double"
 
 
 def _event_lines(spark, sf_dir) -> str:
-    """Events as JSON lines; one in ten is cut off, one in eleven a list, one in thirteen blank."""
+    """Events as JSON lines; one in ten is cut off or goes on after its end, one in eleven is a list, one in
+    thirteen blank."""
     e = table(spark, sf_dir, "events")
     good = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
     k = F.col("event_id")
-    return written(spark, e.select(F.when(k % 10 == 3, F.left(good, F.lit(20))).when(k % 11 == 5, "[1]").when(k % 13 == 7, " ").otherwise(good).alias("value")))
+    return written(spark, e.select(F.when(k % 20 == 3, F.left(good, F.lit(20))).when(k % 20 == 13, F.concat(good, F.lit(" junk"))).when(k % 11 == 5, F.concat(F.lit("["), good, F.lit("]"))).when(k % 13 == 7, " ").otherwise(good).alias("value")))
 
 
 _WHOLE = "event_id % 10 <> 3 AND event_id % 11 <> 5 AND event_id % 13 <> 7"

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import predicates as px
 from lodestone.functions import text as fx
-from lodestone.operators import dedup, graph, joins, report
+from lodestone.operators import dedup, graph, joins, report, review
 from lodestone.plans.catalogue import NORM, TEXT, query, table
 
 _RAW_DATE = "CASE doc_id % 6 WHEN 0 THEN 'on 2024/3/' || (doc_id % 28 + 1) || ', late' WHEN 1 THEN '2024 Mar ' || (doc_id % 28 + 1) WHEN 2 THEN '2024-03-07T10:00:00Z' WHEN 3 THEN 'Thu, 7 Mar 2024 10:00:00 +0000' WHEN 4 THEN '2024-13-40' ELSE 'soon' END"
@@ -123,16 +123,25 @@ def grouped_children(spark, sf_dir):
     return o.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("lines"), parts.alias("parts"), F.coalesce(F.col("q").cast("double"), F.lit(0.0)).alias("quantity"))
 
 
-@query("""WITH b AS (SELECT user_id, event_type AS item, count(*) AS n, max(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2), a AS (SELECT user_id, event_type AS item, count(*) AS n, max(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2),
-j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.item, b.item) AS item, b.n AS bn, a.n AS an, b.v AS bv, a.v AS av FROM b FULL JOIN a ON a.user_id = b.user_id AND a.item = b.item)
-SELECT user_id, item, unnest(list_filter([CASE WHEN bn IS NULL THEN 'added' END, CASE WHEN an IS NULL THEN 'withdrawn' END, CASE WHEN an IS NOT NULL AND bn IS NOT NULL AND av <> bv THEN 'edited' END, CASE WHEN an > bn THEN 'replied' END], lambda x: x IS NOT NULL)) AS change FROM j""")
+_COMMENTS_SQL = """SELECT user_id * 100 + l AS comment_id, md5(max(value)::VARCHAR) AS content_hash, max(event_id) % 7 = 0 AS human_edited, CASE WHEN max(event_id) % 5 = 0 THEN 'withdrawn' ELSE 'active' END AS lifecycle_state, CASE max(event_id) % 6 WHEN 0 THEN 'withdrawn' WHEN 1 THEN 'open' END AS finding_state, count(*) AS replies
+ FROM (SELECT *, length(event_type) AS l FROM events) WHERE {0} GROUP BY 1"""
+
+
+def _comments(events):
+    last = F.max("event_id")
+    k = (F.col("user_id") * 100 + F.length("event_type")).alias("comment_id")
+    return events.groupBy(k).agg(F.md5(F.max("value").cast("string")).alias("content_hash"), (last % 7 == 0).alias("human_edited"), F.when(last % 5 == 0, "withdrawn").otherwise("active").alias("lifecycle_state"), F.when(last % 6 == 0, "withdrawn").when(last % 6 == 1, "open").alias("finding_state"), F.count("*").alias("replies"))
+
+
+@query(f"""WITH b AS ({_COMMENTS_SQL.format("event_id % 2 = 0")}), a AS ({_COMMENTS_SQL.format("event_id % 2 = 1 OR value > 50")}),
+j AS (SELECT coalesce(a.comment_id, b.comment_id) AS comment_id, b.comment_id IS NULL AS fresh, a.comment_id IS NULL AS lost, b.lifecycle_state = 'withdrawn' OR coalesce(b.finding_state, '') = 'withdrawn' AS bw, a.lifecycle_state = 'withdrawn' OR coalesce(a.finding_state, '') = 'withdrawn' AS aw,
+ a.content_hash <> b.content_hash OR a.human_edited <> b.human_edited AS other, a.lifecycle_state <> b.lifecycle_state OR a.finding_state IS DISTINCT FROM b.finding_state AS moved, a.replies <> b.replies AS replied FROM b FULL JOIN a USING (comment_id))
+SELECT comment_id, 'added' AS change FROM j WHERE fresh UNION ALL SELECT comment_id, 'withdrawn' FROM j WHERE lost OR (NOT fresh AND NOT bw AND aw) UNION ALL SELECT comment_id, 'restored' FROM j WHERE NOT fresh AND NOT lost AND bw AND NOT aw
+UNION ALL SELECT comment_id, 'edited' FROM j WHERE NOT fresh AND NOT lost AND (other OR (moved AND bw = aw)) UNION ALL SELECT comment_id, 'replied' FROM j WHERE NOT fresh AND NOT lost AND replied""")
 def comment_changes(spark, sf_dir):
     """Two snapshots of comments; a comment may have several changes at once."""
-    e, cut = table(spark, sf_dir, "events"), F.lit("2024-01-16").cast("timestamp")
-    one = lambda d, p: d.groupBy("user_id", F.col("event_type").alias("item")).agg(F.count("*").alias(f"{p}n"), F.max("value").alias(f"{p}v"))
-    j = one(e.where(F.col("ts") < cut), "b").join(one(e.where(F.col("ts") >= cut), "a"), ["user_id", "item"], "full_outer")
-    why = fx.failing(added=F.col("bn").isNull(), withdrawn=F.col("an").isNull(), edited=F.col("an").isNotNull() & F.col("bn").isNotNull() & (F.col("av") != F.col("bv")), replied=F.col("an") > F.col("bn"))
-    return j.select("user_id", "item", F.explode(why).alias("change"))
+    e = table(spark, sf_dir, "events")
+    return review.comment_delta(_comments(e.where("event_id % 2 = 0")), _comments(e.where("event_id % 2 = 1 or value > 50")), "comment_id")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_quantity, CASE WHEN l_quantity >= 1 AND l_quantity < 11 THEN 'a' WHEN l_quantity < 26 THEN 'b' WHEN l_quantity < 46 THEN 'c' END AS band FROM lineitem""")
@@ -244,10 +253,30 @@ def majority_vote(spark, sf_dir):
     return t.select("o_custkey", F.when(2 * F.col("votes") > F.col("total"), F.col("best")).alias("section"), "votes", "total")
 
 
-@query("""SELECT e.user_id AS page, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS families, count(DISTINCT event_type) > 3 AS conflict, count(*) AS items, sum(value) > 2000 AS over_budget FROM events e GROUP BY 1""")
+_ITEMS_SQL = "SELECT o_custkey AS page, o_orderkey AS item, CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority ELSE 'layout' END AS family, CASE WHEN o_orderkey % 50 = 7 THEN 'no diagnosis' WHEN o_orderkey % 50 = 9 THEN 'tried before' END AS blocked FROM orders"
+
+
+def _plans(spark, sf_dir):
+    k = F.col("o_orderkey")
+    reasons = F.when(k % 50 == 7, F.array(F.lit("no diagnosis"))).when(k % 50 == 9, F.array(F.lit("tried before")))
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), k.alias("item"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise("layout").alias("family"), reasons.alias("blocked"))
+    return review.preflight(items, "page", "item", "family", "blocked", "item")
+
+
+_PLANS_SQL = f"""i AS ({_ITEMS_SQL}), p AS (SELECT page, list(DISTINCT family ORDER BY family) AS f, list(item ORDER BY item) AS items, list(blocked ORDER BY item) FILTER (blocked IS NOT NULL) AS b FROM i GROUP BY page),
+ r AS (SELECT page, CASE WHEN len(f) = 1 THEN f[1] END AS family, array_to_string(items, ',') AS keys, len(items)::INTEGER AS source_count,
+ list_concat(CASE WHEN b IS NULL THEN [] WHEN list_contains(b, 'no diagnosis') AND list_contains(b, 'tried before') THEN CASE WHEN b[1] = 'no diagnosis' THEN ['no diagnosis', 'tried before'] ELSE ['tried before', 'no diagnosis'] END ELSE [b[1]] END, CASE WHEN len(f) > 1 THEN ['families that do not go together: ' || array_to_string(f, ', ')] ELSE [] END) AS reasons FROM p)"""
+
+
+@query(f"WITH {_PLANS_SQL} SELECT page, family, keys, source_count, CASE WHEN len(reasons) > 0 THEN 'blocked' ELSE 'ready' END AS status, array_to_string(reasons, ';') AS reasons FROM r")
 def preflight(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("page")).agg(F.sort_array(F.collect_set("event_type")).alias("f"), F.count("*").alias("items"), F.sum("value").alias("cost"))
-    return e.select("page", F.concat_ws(",", "f").alias("families"), (F.size("f") > 3).alias("conflict"), "items", (F.col("cost") > 2000).alias("over_budget"))
+    """Repair items by page: pages of several families, or with a blocked item, are not ready."""
+    return _plans(spark, sf_dir).select("page", "family", F.array_join(F.transform("keys", lambda x: x.cast("string")), ",").alias("keys"), "source_count", "status", F.array_join("blocked_reasons", ";").alias("reasons"))
+
+
+@query(f"WITH {_PLANS_SQL} SELECT count(*) FILTER (len(reasons) = 0) AS ready_pages, count(*) FILTER (len(reasons) > 0) AS blocked_pages, count(*) FILTER (len(reasons) = 0) <= 12 AS budget_ok FROM r")
+def preflight_totals(spark, sf_dir):
+    return review.preflight_totals(_plans(spark, sf_dir))
 
 
 @query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '10.1/' || doc_id % 30 END AS doi, regexp_replace(lower(left({TEXT}, 40)), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM documents), k AS (SELECT doc_id, coalesce('doi:' || doi, 'title:' || t) AS key FROM d)

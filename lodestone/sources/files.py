@@ -4,20 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BROKEN = "_corrupt"
 
 
-def jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
-    """One JSON object a line; blank lines are skipped. strict: another line is an error when it is
-    read. permissive: such lines are left out. counted: they stay, with nulls and the line itself in
-    the column _corrupt, so that they can be counted."""
+def is_object(line: Column) -> Column:
+    """Whether a line is one JSON object and nothing else. It is parsed inside brackets and inside braces:
+    text after the object that would pass in one is an error in the other, and a second value counts.
+    Names in single quotes, which Spark's parser lets pass, are errors too; so is NaN."""
+    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"', "")
+    one = F.json_array_length(F.concat(F.lit("["), line, F.lit("]"))) == 1
+    closed = F.json_object_keys(F.concat(F.lit('{"x":'), line, F.lit("}"))).isNotNull()
+    return F.coalesce(line.rlike(r"^\s*\{") & one & closed & ~F.contains(bare, F.lit("'")), F.lit(False))
+
+
+def _whole(rows: DataFrame, schema: str, mode: str) -> DataFrame:
+    """Rows with `value` as objects of the schema, in one of the modes of `jsonl`."""
+    rows = rows.where(F.trim(F.regexp_replace("value", r"[\s\x{FEFF}]+", " ")) != "").withColumn("__ok", is_object(F.col("value")))
     if mode == "strict":
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(T._parse_datatype_string(schema).add(BROKEN, T.StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
-    return rows if mode == "counted" else rows.where(F.col(BROKEN).isNull()).drop(BROKEN)
+        said = F.concat(F.lit("not a JSON object in "), F.col("path"), F.lit(": "), F.left("value", F.lit(80)))
+        rows = rows.where(F.when(F.col("__ok"), True).otherwise(F.raise_error(said).cast("boolean")))
+    elif mode == "permissive":
+        rows = rows.where("__ok")
+    return rows.withColumn("__o", F.when(F.col("__ok"), F.from_json("value", schema)))
+
+
+def jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict") -> DataFrame:
+    """One JSON object a line; blank lines are skipped. strict: another line, also a list of objects or an
+    object with something after it, is an error when it is read. permissive: such lines are left out.
+    counted: they stay, with nulls and the line itself in the column _corrupt, so that they can be
+    counted. A field of another type is null."""
+    rows = _whole(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value"), schema, mode)
+    return rows.select("__o.*", *([F.when(~F.col("__ok"), F.col("value")).alias(BROKEN)] if mode == "counted" else []))
+
+
+def jsonl_findings(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The objects, with _line, and the audit findings (path, line_no, problem) of the other lines."""
+    rows = _whole(lines(spark, path), schema, "counted")
+    problem = F.when(F.try_parse_json("value").isNull() | F.col("value").rlike(r"^\s*\{"), "invalid JSON").otherwise("not an object")
+    return rows.where("__ok").select("__o.*", F.col("line_no").alias("_line")), rows.where("not __ok").select("path", "line_no", problem.alias("problem"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -32,9 +58,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The objects of `jsonl` with _line, their physical line number; other values are left out."""
-    full = T._parse_datatype_string(schema).add(BROKEN, T.StringType())
-    parsed = lines(spark, path).where(F.trim("value") != "").withColumn("o", F.from_json("value", full, {"columnNameOfCorruptRecord": BROKEN}))
-    return parsed.where(F.col(f"o.{BROKEN}").isNull()).select("o.*", F.col("line_no").alias("_line")).drop(BROKEN)
+    return _whole(lines(spark, path), schema, "permissive").select("__o.*", F.col("line_no").alias("_line"))
 
 
 def json_export(spark: SparkSession, path: str, fields: dict[str, list[str]]) -> DataFrame:
@@ -49,9 +73,10 @@ def json_export(spark: SparkSession, path: str, fields: dict[str, list[str]]) ->
 
 
 def records_by_suffix(spark: SparkSession, path: str, schema: str, tag: str | None = None) -> DataFrame:
-    """A CSV file with a header (with or without a byte order mark), or else JSON lines; with `tag` an
-    array column `tags` that begins with it."""
-    rows = spark.read.option("header", True).csv(path) if path.lower().endswith(".csv") else jsonl(spark, path, schema)
+    """A CSV file with a header (with or without a byte order mark; quoted fields may hold newlines and
+    doubled quotation marks, so a file is read by one task), or else JSON lines; with `tag` an array
+    column `tags` that begins with it."""
+    rows = spark.read.options(header=True, multiLine=True, escape='"').csv(path) if path.lower().endswith(".csv") else jsonl(spark, path, schema)
     if tag is None:
         return rows
     have = F.split(F.coalesce("tags", F.lit("")), "[;,|]") if "tags" in rows.columns else F.array().cast("array<string>")
@@ -59,17 +84,22 @@ def records_by_suffix(spark: SparkSession, path: str, schema: str, tag: str | No
 
 
 def frontmatter(text: Column) -> Column:
-    """map<string, string> of the `key: value` lines between the first two lines `---`; empty without."""
+    """map<string, string> of the `key: value` lines between the first two lines `---`; empty without. Of
+    lines with the same key the last one counts."""
     head = F.regexp_extract(text, r"(?s)\A\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
     pairs = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
-    entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)), F.regexp_replace(F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)), r"^([\"'])(.*)\1$", "$2")))
-    return F.map_from_entries(F.reverse(F.array_distinct(F.reverse(entries))))
+    entries = F.transform(pairs, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)), r"^([\"'])(.*)\1$", "$2").alias("v")))
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["k"])))
 
 
 def cards(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, meta, body) of the Markdown files below a folder; names that begin with a dot are left out."""
+    """(path, meta, body) of the Markdown files below a folder; names below it that begin with a dot are
+    left out, whatever the folder itself is called."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), "value").where(~F.col("path").rlike(r"/\.[^/]"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getRawPath().rstrip("/")
+    below = F.substr(F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z0-9+.-]+:(?://[^/]*)?", ""), F.lit(len(top) + 1))
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), "value", below.alias("below")).where(~F.col("below").rlike(r"/\.[^/]"))
     body = F.regexp_replace("value", r"(?s)\A\x{FEFF}?---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)", "")
     return raw.select("path", frontmatter(F.col("value")).alias("meta"), body.alias("body"))
 
@@ -78,6 +108,6 @@ def csv_union(spark: SparkSession, paths: list[str], route: str = "route", leave
     """CSV files with different columns as one table, by name; rows on the route to leave out go."""
     out = None
     for p in paths:
-        rows = spark.read.option("header", True).csv(p).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0))
+        rows = spark.read.options(header=True, multiLine=True, escape='"').csv(p).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "[^/]*$", 0))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out.where(~F.coalesce(F.col(route) == leave_out, F.lit(False))) if route in out.columns else out
