@@ -25,7 +25,7 @@ SEGMENT = 4096
 def positions(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Adds __i, the row's 0-based place in its group by `order`. Rows are sorted by range over all
     tasks; a range's rows follow those of the ranges before it. Rows that are equal in `order` keep some
-    order, the same for whatever reads the result."""
+    order, the same for whatever reads the result. Names that begin with two underscores are for these operators."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at, low = F.monotonically_increasing_id(), (1 << 33) - 1
