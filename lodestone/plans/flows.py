@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as fx
 from lodestone.operators.graph import shared_folder
 from lodestone.plans.catalogue import TEXT, query, table
-from lodestone.sources import files, sinks
+from lodestone.sources import files, inventory, sinks
 from lodestone.streaming import folds
 
 
@@ -184,3 +184,35 @@ def stream_set_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value > 60").select("user_id", "event_type", F.least(F.lit(2), F.expr("day(ts) div 11").cast("int")).alias("batch"))
     out = folds.set_changes(_stream(spark, e, F.col("batch")).drop("batch"), folder(spark), "user_id", "event_type")
     return out.select("batch", "user_id", F.concat_ws(",", "added").alias("added"), F.concat_ws(",", "removed").alias("removed"))
+
+
+@query("""WITH d AS (SELECT source, count(*) AS n, sha256(string_agg('{"doc_id":' || doc_id || '}' || chr(10), '' ORDER BY doc_id)) AS sha, substr(source, 4)::INTEGER % 4 AS k FROM documents GROUP BY source)
+SELECT source AS name, 'sha256' AS fault, 'no digest' AS expected, sha AS found FROM d WHERE k = 0 UNION ALL SELECT source, 'row_count', (n + 1)::VARCHAR, n::VARCHAR FROM d WHERE k = 1
+UNION ALL SELECT source, 'extra', NULL, 'file' FROM d WHERE k = 2 UNION ALL SELECT 'gone', 'missing', 'file', NULL""")
+def ledger_faults(spark, sf_dir):
+    """A ledger file for each source, and a manifest that is wrong for three in four of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.to_json(F.struct("doc_id")).alias("value"))
+    path = folder(spark)
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    k = F.substr("source", F.lit(4)).cast("int") % 4
+    counted = docs.groupBy("source").agg(F.count("*").alias("n")).where(k != 2)
+    names = F.regexp_extract("path", r"source=([^/]*)/", 1)
+    right = inventory.digests(spark, path).select(names.alias("source"), F.col("sha256").alias("right"))
+    rows = counted.join(right, "source").select(F.col("source").alias("name"), F.when(k == 0, "no digest").otherwise(F.col("right")).alias("sha256"), F.when(k == 1, F.col("n") + 1).otherwise(F.col("n")).alias("row_count"))
+    gone = rows.limit(1).select(F.lit("gone").alias("name"), F.lit("x").alias("sha256"), F.lit(1).cast("long").alias("row_count"))
+    return inventory.ledger_faults(spark, path, rows.unionByName(gone), names)
+
+
+@query("""SELECT lang AS name, CASE lang WHEN 'de' THEN 'removed' WHEN 'en' THEN 'changed' WHEN 'fr' THEN 'renamed' ELSE 'added' END AS change FROM documents WHERE lang <> 'de' GROUP BY lang
+UNION ALL SELECT 'de', 'removed' UNION ALL SELECT 'old', 'removed'""")
+def file_refresh(spark, sf_dir):
+    """A file for each language, and an inventory from before: one has changed, one has another name, one
+    is gone, one is new."""
+    docs = table(spark, sf_dir, "documents").where("lang <> 'de'").select("lang", F.to_json(F.struct("doc_id")).alias("value"))
+    path = folder(spark)
+    docs.repartition("lang").sortWithinPartitions("lang", "value").write.partitionBy("lang").text(path)
+    now = inventory.digests(spark, path)
+    lang = F.regexp_extract("path", r"lang=([^/]*)/", 1)
+    before = now.where(lang.isin("en", "fr")).select(F.when(lang == "fr", F.regexp_replace("path", "lang=fr", "lang=old")).otherwise(F.col("path")).alias("path"), (F.col("size") + F.when(lang == "en", 1).otherwise(0)).alias("size"), "mtime", F.when(lang == "en", "other").otherwise(F.col("sha256")).alias("sha256"))
+    gone = before.limit(1).select(F.lit(f"{path}/lang=de/part").alias("path"), "size", "mtime", F.lit("nowhere").alias("sha256"))
+    return inventory.refresh(spark, path, before.unionByName(gone))[1].select(lang.alias("name"), "change")
