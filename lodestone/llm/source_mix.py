@@ -35,7 +35,7 @@ from lodestone.llm.tables import drop, parts, settle
 WORD = r"[^\x20\x09-\x0D]+"
 #: The most copies of a document; the error of a source's tokens at which its multiplier is settled,
 #: relative to the target (or a thousandth of a token), and the most steps; the documents of one bucket.
-MOST, ERROR, STEPS, BUCKET = 3, 1e-7, 100, 4096
+MOST, ERROR, STEPS, BUCKET = 3, 1e-7, 100, 512
 #: Sums of this kind do not depend on the order of their rows, so that reruns agree.
 EXACT = "decimal(38,9)"
 
