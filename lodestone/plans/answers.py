@@ -15,7 +15,7 @@ _REPLY_SQL = f"""SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN o W
 #: The object of a part ends at the first closing brace with which it is valid JSON.
 _FOUND_SQL = rf"""WITH r AS ({_REPLY_SQL}), p AS (SELECT conv_id, turn, unnest(list_concat([reply], regexp_extract_all(reply, '(?i)```(?:json)?\s*((?s:.*?))```', 1))) AS part, generate_subscripts(list_concat([reply], regexp_extract_all(reply, '(?i)```(?:json)?\s*((?s:.*?))```', 1)), 1) AS k FROM r),
  s AS (SELECT conv_id, turn, k, CASE WHEN json_valid(part) AND json_type(part) <> 'OBJECT' THEN NULL ELSE substr(part, nullif(position('{{' IN part), 0)) END AS s FROM p),
- f AS (SELECT conv_id, turn, k, left(s, list_filter(range(1, length(s) + 1), lambda i: s[i] = '}}' AND json_valid(left(s, i)))[1]) AS o FROM s),
+ f AS (SELECT conv_id, turn, k, list_filter(list_transform(range(1, len(x)), lambda i: array_to_string(x[1:i], '}}') || '}}'), lambda c: json_valid(c))[1] AS o FROM (SELECT *, string_split(s, '}}') AS x FROM s)),
  o AS (SELECT conv_id, turn, arg_min(o, k) AS o FROM f WHERE o IS NOT NULL GROUP BY ALL)"""
 
 

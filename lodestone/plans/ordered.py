@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import ordered
+from lodestone.operators import layout, ordered
 from lodestone.plans.catalogue import query, table
 from lodestone.plans.flows import folder
 from lodestone.streaming import enrich
@@ -85,3 +85,36 @@ def line_blocks(spark, sf_dir):
 SELECT page, paragraph::BIGINT AS paragraph, count(*)::INTEGER AS lines, list_reduce(list(line ORDER BY y0, x0, line), lambda a, x: CASE WHEN a LIKE '%-' THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END) AS text FROM p GROUP BY page, paragraph""")
 def line_paragraphs(spark, sf_dir):
     return ordered.paragraphs(_lines(spark, sf_dir), "page", ["y0", "x0", "line"], "y0", "y1", "line")
+
+
+#: Order lines as lines of pages (one a supplier and month) with CJK and Latin words.
+_SHEET_SQL = """SELECT l_suppkey * 100 + month(l_shipdate) AS page, l_orderkey, l_linenumber, l_partkey, l_quantity, ['中', '文。', 'Table', '表格数据', 'the data 数', 'A', '7', '表', '中'][1 + l_partkey % 9] AS words, 8.0::DOUBLE + l_linenumber % 4 * 2 AS size,
+ [-1.0, 50.0, 52.0, 51.0, 150.0, 50.0][1 + l_orderkey % 6]::DOUBLE AS x0, (l_orderkey % 4000 * 2 + l_linenumber * 5)::DOUBLE AS y0, [-1.0, 50.0, 52.0, 51.0, 150.0, 50.0][1 + l_orderkey % 6]::DOUBLE + 8 + l_quantity::DOUBLE AS x1, (l_orderkey % 4000 * 2 + l_linenumber * 5)::DOUBLE + 4 + l_linenumber % 3 * 4 AS y1 FROM lineitem"""
+
+
+@query(f"""WITH RECURSIVE l AS ({_SHEET_SQL}), n AS (SELECT *, lower(regexp_replace(words, '[^0-9A-Za-z㐀-鿿]', '', 'g')) AS w, length(regexp_replace(words, '[^㐀-鿿]', '', 'g')) AS cjk, length(regexp_replace(words, '[^A-Za-z]', '', 'g')) AS latin,
+  length(replace(words, ' ', '')) AS bare, row_number() OVER (PARTITION BY page ORDER BY y0, x0, l_orderkey, l_linenumber, l_partkey, l_quantity) AS k FROM l),
+ j AS (SELECT a.page, a.k, b.k AS b, b.y0 > a.y1 + 3 AS below, a.words AS aw, b.words AS bw, least(a.x0, b.x0) AS ux0, least(a.y0, b.y0) AS uy0, greatest(a.x1, b.x1) AS ux1, greatest(a.y1, b.y1) AS uy1,
+  greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest(1.0, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))) AS share,
+  abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= 2 AS beside, (a.cjk > 0 AND (b.cjk > 0 OR b.latin >= 2)) OR (b.cjk > 0 AND a.latin >= 2) AS mixed, a.w = b.w OR (least(length(a.w), length(b.w)) >= 6 AND (contains(a.w, b.w) OR contains(b.w, a.w))) AS twice,
+  least(length(a.w), length(b.w)) <= 12 AND greatest(a.size, b.size) >= 12.65 AS plain FROM n a JOIN n b ON a.page = b.page AND b.k BETWEEN a.k + 1 AND a.k + 9),
+ s AS (SELECT page, k, min(b) FILTER (WHERE below) AS stop FROM j GROUP BY ALL),
+ hit AS (SELECT page, 'overlap' AS kind, aw || ' / ' || bw AS evidence, ux0, uy0, ux1, uy1 FROM j JOIN s USING (page, k) WHERE b < coalesce(stop, b + 1) AND mixed AND share >= 0.65 AND NOT twice AND NOT (beside AND share < 0.82) AND plain QUALIFY row_number() OVER (PARTITION BY page, k ORDER BY b) = 1),
+ o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY k) AS i FROM n WHERE cjk = 1 AND bare <= 2),
+ grow AS (SELECT page, i AS start, i, words AS said, x0, x1, y0, y1, x0 AS ux0, y0 AS uy0, x1 AS ux1, y1 AS uy1 FROM o
+  UNION ALL SELECT o.page, start, o.i, said || words, o.x0, o.x1, o.y0, o.y1, least(ux0, o.x0), least(uy0, o.y0), greatest(ux1, o.x1), greatest(uy1, o.y1) FROM grow g JOIN o ON o.page = g.page AND o.i = g.i + 1 AND o.i <= start + 7
+   AND abs((o.x0 + o.x1) / 2 - (g.x0 + g.x1) / 2) <= greatest(5.0, (g.x1 - g.x0) * 1.4) AND o.y0 - g.y1 BETWEEN 0 AND greatest(16.0, (g.y1 - g.y0) * 2.2)),
+ st AS (SELECT page, 'stack' AS kind, said AS evidence, ux0, uy0, ux1, uy1 FROM grow WHERE i >= start + 2 QUALIFY row_number() OVER (PARTITION BY page ORDER BY start, i DESC) = 1)
+SELECT page, kind, evidence, ux0 AS x0, uy0 AS y0, ux1 AS x1, uy1 AS y1 FROM (SELECT * FROM hit UNION ALL SELECT * FROM st UNION ALL
+ SELECT page, 'clipped', 'outside: ' || words, x0, y0, x1, y1 FROM n WHERE x0 < -0.5 OR y0 < -0.5 OR x1 > 200.5 OR y1 > 7900.5 UNION ALL
+ SELECT page, 'clipped', 'fragment: ' || words, x0, y0, x1, y1 FROM n WHERE (cjk = 1 AND bare <= 2 AND (x1 >= 198 OR x0 <= 2)) OR (bare = 1 AND words <> '7' AND x0 > 144))""")
+def layout_issues(spark, sf_dir):
+    k = F.col("l_orderkey")
+    pick = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i.cast("int"))
+    left, top = pick([-1.0, 50.0, 52.0, 51.0, 150.0, 50.0], k % 6), (k % 4000 * 2 + F.col("l_linenumber") * 5).cast("double")
+    words = pick(["中", "文。", "Table", "表格数据", "the data 数", "A", "7", "表", "中"], F.col("l_partkey") % 9)
+    sheet = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") * 100 + F.month("l_shipdate")).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", words.alias("words"), (F.lit(8.0) + F.col("l_linenumber") % 4 * 2).alias("size"), left.alias("x0"), top.alias("y0"),
+        (left + 8 + F.col("l_quantity").cast("double")).alias("x1"), (top + 4 + F.col("l_linenumber") % 3 * 4).alias("y1"), F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(200.0).alias("right"), F.lit(7900.0).alias("bottom"), F.lit(11.0).alias("median"),
+    )
+    return layout.layout_issues(sheet, "page", "words", "size", ("left", "top", "right", "bottom"), "median", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
