@@ -83,14 +83,15 @@ def _carried(rows: DataFrame, about: DataFrame, key: str, min_docs: int) -> Data
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, max_children: int = MAX_CHILDREN, min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, content, line_no, template): the lines to drop, with the template that recurs, null if the
     line recurs only literally. `content` is xxhash64 of the text."""
-    lines = settle(_lines(docs, id_col, text, depth), "lines")
+    lines = settle(_lines(docs, id_col, text, depth), "lines", "zstd")
     held, about = _shared(lines)
     literal = _carried(held.where(F.col("among") >= min_docs).select("hash", "content", F.lit(True).alias("is_shared")), about, "hash", min_docs)
     said = lines.select("id", "content", "line_no", "hash").join(literal, "hash", "left_semi")
     said = settle(said.select("id", "content", "line_no", F.lit(None).cast("string").alias("template")), "said")
     tidy(docs.sparkSession)
     near = lines.join(_contents(lines, "leaf", min_docs).select("leaf"), "leaf", "left_semi")
-    near = settle(near.withColumn("tokens", F.split("line", " ")).drop("line"), "near")
+    near = settle(near.withColumn("tokens", F.split("line", " ")).drop("line"), "near", "zstd")
+    drop(lines)
     tidy(docs.sparkSession)
     spots = near.where(F.size("tokens") > depth).select("leaf", F.posexplode("tokens").alias("at", "token")).where(f"at >= {depth}")
     loose = spots.groupBy("leaf", "at", "token").agg(F.lit(1).alias("one")).groupBy("leaf", "at").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_children).groupBy("leaf").agg(F.collect_set("at").alias("loose"))
@@ -98,12 +99,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shaped = shaped.withColumn("shape", F.transform("tokens", lambda t, i: F.when(F.array_contains("loose", i), F.lit(VARIABLE)).otherwise(t)))
     template = lambda c: F.when(2 * F.size(F.filter(c, lambda t: t != VARIABLE)) >= F.size(c), F.concat_ws(" ", c))
     shaped = shaped.select("id", "content", "line_no", "hash", F.explode(F.array_distinct(F.array_compact(F.array(template("shape"), template("tokens"))))).alias("template"))
-    shaped = settle(shaped.withColumn("key", F.xxhash64("template")), "shapes")
+    shaped = settle(shaped.withColumn("key", F.xxhash64("template")), "shapes", "zstd")
+    drop(near)
     often = shaped.join(_contents(shaped, "key", min_docs).select("key"), "key", "left_semi").select("key", "content", "hash").distinct()
     told = often.join(held.select("hash").distinct().withColumn("is_shared", F.lit(True)), "hash", "left").withColumn("is_shared", F.coalesce("is_shared", F.lit(False)))
     found = shaped.join(_carried(told, about, "key", min_docs), "key", "left_semi").select("id", "content", "line_no", "template")
     out = settle(found.unionByName(said).groupBy("id", "content", "line_no").agg(F.min("template").alias("template")), "recurring")
-    drop(lines, held, about, near, shaped, said)
+    drop(held, about, shaped, said)
     tidy(docs.sparkSession)
     return out
 
