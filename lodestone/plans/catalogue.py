@@ -514,4 +514,4 @@ def segment_markdown(spark, sf_dir):
     return sequence.segments(c, "key", "text")
 
 
-from lodestone.plans import answers, flows, forests, merges, ordered, places, records, reviews  # noqa: E402, F401  they register their queries in the tables above
+from lodestone.plans import answers, flows, forests, merges, ordered, outputs, places, records, reviews  # noqa: E402, F401  they register their queries in the tables above
