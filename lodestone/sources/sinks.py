@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def event_id(*parts: Column) -> Column:
     """A stable id from what makes an event the same event."""
     return F.concat(F.lit("ev-"), F.left(F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), F.lit(24)))
@@ -42,17 +50,29 @@ def current_version(spark: SparkSession, path: str) -> int:
 
 def write_version(rows: DataFrame, path: str, expected: int) -> int:
     """Write the next version if `expected` is the current one, else an error. The version is written
-    aside and renamed, so of two writers that expect the same version one fails."""
+    aside, in a folder of this writer alone. Of writers that expect the same version the one that makes
+    the claim file of the next version goes on, also where renames of folders are not atomic, and the
+    others fail. A writer that fails gives its claim back; the claim of one that was killed must be deleted."""
     spark = rows.sparkSession
     if (found := current_version(spark, path)) != expected:
         raise ValueError(f"version {found} where {expected} was expected")
-    aside, target = f"{path}/.next-{expected + 1}-{spark.sparkContext.applicationId}", f"{path}/v={expected + 1}"
-    rows.write.mode("overwrite").parquet(aside)
-    fs, a = _fs(spark, aside)
-    _, t = _fs(spark, target)
-    if fs.exists(t) or not fs.rename(a, t):
-        fs.delete(a, True)
-        raise ValueError(f"version {expected + 1} was written by someone else")
+    aside, target, claim = f"{path}/.next-{uuid.uuid4().hex}", f"{path}/v={expected + 1}", f"{path}/.claim-{expected + 1}"
+    fs, c = _fs(spark, claim)
+    try:
+        fs.create(c, False).close()
+    except Py4JJavaError as e:
+        raise ValueError(f"version {expected + 1} is written by someone else") from e
+    try:
+        if current_version(spark, path) != expected:
+            raise ValueError(f"version {expected + 1} was written by someone else")
+        rows.write.parquet(aside)
+        if not fs.rename(_fs(spark, aside)[1], _fs(spark, target)[1]):
+            raise ValueError(f"version {expected + 1} could not be put in its place")
+    except Exception:
+        delete(spark, aside)
+        raise
+    finally:
+        fs.delete(c, False)
     return expected + 1
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.sinks import append_events, exists
+from lodestone.sources.sinks import append_events, delete, exists
 
 
 def run(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -52,16 +52,19 @@ def assembled(stream: DataFrame, folder: str, key: str, at: str, phase: str, ide
     grouped = stream.groupBy(key, F.window(at, gap)["start"].alias("window")).agg(F.collect_set(F.struct(F.col(at).alias("at"), F.col(ident).alias("id"), F.col(phase).alias("phase"))).alias("p"))
 
     def each(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/windows/{k % 2}")
+        batch.write.mode("overwrite").parquet(f"{folder}/windows/{k}")
+        for old in [b for b in whole_batches(spark, f"{folder}/windows") if b < k - 1]:
+            delete(spark, f"{folder}/windows/{old}")
 
     run(grouped, f"{folder}/checkpoint", each, "complete")
-    return request_rows(spark.read.parquet(_latest(spark, f"{folder}/windows")), key, start, ends)
+    return request_rows(spark.read.parquet(f"{folder}/windows/{max(whole_batches(spark, f'{folder}/windows'))}"), key, start, ends)
 
 
-def _latest(spark: SparkSession, path: str) -> str:
+def whole_batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches below a folder that were written to their end."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return max(fs.listStatus(p), key=lambda s: s.getModificationTime()).getPath().toString()
+    return [int(s.getPath().getName()) for s in fs.listStatus(p) if fs.exists(s.getPath().suffix("/_SUCCESS"))]
 
 
 def request_rows(windows: DataFrame, key: str, start: str, ends: list[str]) -> DataFrame:
