@@ -119,3 +119,25 @@ def test_already_applied(spark):
     c = spark.createDataFrame([("k1", "s", "x", "run", "o1"), ("k2", "t", "y", "old", "o2"), ("k3", None, None, "run", None)], "id string, source_key string, signature string, run_id string, operation_id string")
     o = spark.createDataFrame([("o1", "q", "q"), ("o2", "q", "q"), ("o3", "t", "y"), ("o4", None, None)], "operation_id string, source_key string, signature string")
     assert {tuple(x) for x in operations.already_applied(o, c, "run").collect()} == {("o1", "k1"), ("o3", "k2")}
+
+
+def test_operations_of_one_comment_are_rows_of_their_own(spark):
+    """Very many operations on one comment: no array of them is gathered, and keys are quoted as in JSON."""
+    key = 's:F"\\\x01é/'
+    comments = [("k1", None, "old", None, None, False, "ai-review", None, None, None, None)]
+    ops = [(f"o{k}", k, ("update", "withdraw", "keep", "create")[k % 4], key[2:], "k1", "text" if k % 8 < 4 else None, "resurfaced" if k % 3 else None) for k in range(3000)]
+    merged = operations.folded(spark.createDataFrame(comments, COMMENT), spark.createDataFrame(ops, OPERATION).repartition(3), "run", "s").cache()
+    got = {x.operation_id: (x.id, x.outcome, x.from_version, x.to_version) for x in operations.outcomes(merged).collect()}
+    assert len(got) == len(ops) and merged.count() == len(ops) + 2
+    created, at = "c-" + hashlib.sha256(key.encode()).hexdigest()[:16], 1
+    for name, k, action, *_ in ops:
+        if action == "create":
+            assert got[name] == (created, "created", 0, 1) if k == 3 else got[name][1] in ("conflict", "skipped")
+        else:
+            assert got[name][2] == at
+            at = got[name][3]
+    last = merged.where("id = 'k1' and after is not null").first().after
+    assert last.comment_version == at and last.source_key == key
+    by_hand = hashlib.sha256(r'{"action":"withdraw","finding_id":"F\"\\\u0001é/","source_key":"s:F\"\\\u0001é/","target_comment_id":"k1"}'.encode()).hexdigest()[:16]
+    one = operations.folded(spark.createDataFrame(comments, COMMENT), spark.createDataFrame([ops[1]], OPERATION), "run", "s").where("after is not null").first().after
+    assert one.signature == by_hand
