@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -106,3 +107,17 @@ def test_companions(spark):
                 seen.add((c[0], *c[2:6], said))
                 expected.add((c[0], tab[1], c[1], position, round(d, 1)))
     assert got == expected and len(got) > 20
+
+
+def test_many_in_one_place_are_compared_once(spark):
+    """60,000 points in 60,000 equal boxes, and as many equal texts under equal tables: their pairs would take minutes."""
+    began, n = time.monotonic(), 60_000
+    ids = spark.range(n).repartition(3)
+    points = ids.selectExpr("'p' AS page", "id AS pid", "double(id % 2) * 20 AS x", "1.0d AS y")
+    boxes = ids.selectExpr("'p' AS page", "id AS box", "-id AS order", "0d AS x0", "0d AS y0", "10d AS x1", "10d AS y1")
+    made = spatial.assign(points, boxes, "page", "pid", "x", "y", "box", "order", SIDES)
+    assert [tuple(x) for x in made.groupBy("box").count().collect()] == [(n - 1, n)]
+    texts = ids.selectExpr("'p' AS page", "id + 5 AS id", "if(id % 2 = 0, 'a', 'b') AS said", "0d AS x0", "20d AS y0", "10d AS x1", "25d AS y1")
+    got = spatial.companions(texts, boxes, "page", "id", "box", "said", SIDES)
+    assert {tuple(x) for x in got.select("box", "id", "position", "distance").collect()} == {(0, 5, "below", 10.0), (0, 6, "below", 10.0)}
+    assert time.monotonic() - began < 90
