@@ -3,11 +3,17 @@
 Expected events decide in their order, and what one takes no later one can have. An event can decide as
 soon as no earlier undecided event shares a candidate with it, so all such events decide in one round;
 the rounds are as many as the longest chain of events that share candidates, not as many as events.
+
+Only few events need these rounds, and pairs are made of kinds, not of rows. Candidates that are alike in
+title, type and basis fit the same events, so that none of two or more of them is ever the only one left:
+they are never taken, and who fits any of them takes nothing. Nor does an event whose candidates no event of
+another kind can take before it, but for one. These events get their number of candidates by counting:
+all that fit, less those that were taken before their place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import cut
@@ -33,13 +39,40 @@ def pairs(candidates: DataFrame, expected: DataFrame) -> DataFrame:
     return met.where("pattern = '' or title rlike pattern").select("gold_id", "place", "candidate_id")
 
 
-def matched(candidates: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row for each expected event: gold_id, matched, candidate_id, match_count (candidates left that
-    fitted when it decided), expected_date, actual_date and date_status (not_scored, exact, unknown or
-    mismatch). Candidate ids and places differ from each other; candidates without an id are left out."""
-    spark = candidates.sparkSession
-    candidates = candidates.where("candidate_id is not null")
-    open_ = cut(pairs(candidates, expected))
+def _kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds __kind, a number that rows have in common if they are equal in `columns`."""
+    kinds = cut(df.select(*columns).distinct().withColumn("__kind", F.monotonically_increasing_id()))
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return df.alias("a").join(kinds.alias("b"), same).select("a.*", "b.__kind")
+
+
+def _contested(met: DataFrame, events: DataFrame) -> DataFrame:
+    """The pairs (kind, candidate_id) of the kinds of events of which one may take a candidate. A kind takes
+    one at most, as it has no candidate left then. Before its last event all of its candidates but one
+    must have gone to other kinds, so those that no other kind fits whose first event comes before that are one
+    at most. Kinds are left out until nothing changes."""
+    span = cut(events.groupBy("__kind").agg(F.min("place").alias("first"), F.max("place").alias("last")))
+    totals = met.groupBy("__kind").agg(F.max("n").alias("most"))
+    left = cut(met.join(totals.where("most = 1").select("__kind"), "__kind").join(span, "__kind").select("__kind", "first", "last", F.col("one").alias("candidate_id")))
+    many = left.count()
+    while many:
+        by = left.groupBy("candidate_id").agg(F.min("first").alias("a"), F.min_by("__kind", "first").alias("who"))
+        # the first event of another kind
+        rest = left.join(by, "candidate_id").where("__kind <> who").groupBy("candidate_id").agg(F.min("first").alias("b"))
+        other = F.when(F.col("__kind") == F.col("who"), F.col("b")).otherwise(F.col("a"))
+        safe = left.join(by, "candidate_id").join(rest, "candidate_id", "left").withColumn("other", other)
+        stay = safe.groupBy("__kind").agg(F.count_if(F.col("other").isNull() | (F.col("other") > F.col("last"))).alias("own")).where("own <= 1")
+        left = cut(left.join(stay.select("__kind"), "__kind"))
+        many, before = left.count(), many
+        if many == before:
+            break
+    return left.select("__kind", "candidate_id")
+
+
+def _decided(open_: DataFrame) -> DataFrame:
+    """(gold_id, place, match_count, candidate_id) of all events of the pairs."""
     decided = None
     while open_.take(1):
         # the place whose turn it is at each candidate; an event decides if it is its turn at all of its own
@@ -48,10 +81,32 @@ def matched(candidates: DataFrame, expected: DataFrame) -> DataFrame:
         now = cut(ready.where("ready").select("gold_id", "place", "match_count", F.when(F.col("match_count") == 1, F.col("one")).alias("candidate_id")))
         decided = now if decided is None else decided.unionByName(now)
         open_ = cut(open_.join(now.select("gold_id"), "gold_id", "left_anti").join(now.where("candidate_id is not null").select("candidate_id"), "candidate_id", "left_anti").select("gold_id", "place", "candidate_id"))
-    if decided is None:
-        decided = spark.createDataFrame([], "gold_id string, place long, match_count long, candidate_id string")
+    return decided if decided is not None else open_.select("gold_id", "place", F.lit(None).cast("long").alias("match_count"), "candidate_id")
+
+
+def matched(candidates: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row for each expected event: gold_id, matched, candidate_id, match_count (candidates left that
+    fitted when it decided), expected_date, actual_date and date_status (not_scored, exact, unknown or
+    mismatch). Candidate ids and places differ from each other; candidates without an id are left out."""
+    candidates = candidates.where("candidate_id is not null")
+    blank = lambda c: F.when(~_blank(c), F.col(c)).alias(c)
+    asked = expected.select("gold_id", "place", F.coalesce("title_regex", F.lit("")).alias("title_regex"), blank("event_type"), blank("basis"))
+    events = cut(_kinds(asked, ["title_regex", "event_type", "basis"]))
+    kinds = events.groupBy(F.col("__kind").cast("string").alias("gold_id")).agg(F.lit(0).cast("long").alias("place"), *(F.first(c).alias(c) for c in ("title_regex", "event_type", "basis")))
+    alike = cut(candidates.groupBy(F.coalesce("title", F.lit("")).alias("title"), "event_type", "basis").agg(F.count("*").alias("n"), F.min("candidate_id").alias("candidate_id")))
+    met = pairs(alike, kinds).join(alike.select("candidate_id", "n"), "candidate_id")
+    met = cut(met.select(F.col("gold_id").cast("long").alias("__kind"), F.col("candidate_id").alias("one"), "n"))
+    contested = _contested(met, events)
+    taken = cut(_decided(cut(events.join(contested, "__kind").select("gold_id", "place", "candidate_id"))))
+    won = taken.where("candidate_id is not null").select("candidate_id", F.col("place").alias("at"))
+    # of events and what was taken from their kind, by place: how much is gone at each event
+    gone = met.join(won, F.col("one") == F.col("candidate_id")).select("__kind", F.col("at").alias("place"), F.lit(None).cast("string").alias("gold_id"), F.lit(1).alias("gone"))
+    before = F.sum("gone").over(Window.partitionBy("__kind").orderBy("place", "gone").rowsBetween(Window.unboundedPreceding, 0))
+    line = events.select("__kind", "place", "gold_id", F.lit(0).alias("gone")).unionByName(gone).withColumn("__gone", before).where("gone = 0")
+    totals = met.groupBy("__kind").agg(F.sum("n").alias("n"))
+    counts = line.join(totals, "__kind", "left").select("gold_id", (F.coalesce("n", F.lit(0)) - F.col("__gone")).alias("match_count"))
     dates = candidates.select("candidate_id", F.col("date").alias("actual_date"))
-    rows = expected.select("gold_id", F.col("date").alias("expected_date")).join(decided, "gold_id", "left").join(dates, "candidate_id", "left")
+    rows = expected.select("gold_id", F.col("date").alias("expected_date")).join(counts, "gold_id", "left").join(taken.where("candidate_id is not null").select("gold_id", "candidate_id"), "gold_id", "left").join(dates, "candidate_id", "left")
     due = F.coalesce(F.col("expected_date").cast("string"), F.lit("")) != ""
     status = F.when(~due, "not_scored").when(F.col("actual_date") == F.col("expected_date"), "exact").when(F.col("actual_date").isNull(), "unknown").otherwise("mismatch")
     return rows.select("gold_id", F.col("candidate_id").isNotNull().alias("matched"), "candidate_id", F.coalesce("match_count", F.lit(0)).alias("match_count"), "expected_date", "actual_date", status.alias("date_status"))

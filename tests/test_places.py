@@ -121,3 +121,15 @@ def test_many_in_one_place_are_compared_once(spark):
     got = spatial.companions(texts, boxes, "page", "id", "box", "said", SIDES)
     assert {tuple(x) for x in got.select("box", "id", "position", "distance").collect()} == {(0, 5, "below", 10.0), (0, 6, "below", 10.0)}
     assert time.monotonic() - began < 90
+
+
+def test_events_that_fit_many_alike_need_no_rounds(spark, monkeypatch):
+    """Sixty events that all fit the same alike candidates: a round for each of them before."""
+    writes = []
+    monkeypatch.setattr(matching, "cut", lambda df, cut=matching.cut: writes.append(1) or cut(df))
+    candidates = [(f"c{k}", f"ring {k % 3}", "a", "x", None, None) for k in range(9)] + [("d0", "bolt", "b", "y", None, None), ("d1", "nut", "b", "y", None, None)]
+    wanted = lambda k: "bolt" if k % 20 == 7 else "nut|bolt" if k % 20 == 8 else ("ring", "^ring 1", "")[k % 3]
+    expected = [(f"g{k:02}", k, wanted(k), None, None, None) for k in range(60)]
+    made = matching.matched(spark.createDataFrame(candidates, CANDIDATE), spark.createDataFrame(expected, EXPECTED))
+    assert {x.gold_id: (x.matched, x.candidate_id, x.match_count, x.date_status) for x in made.collect()} == greedy(candidates, expected)
+    assert len(writes) < 30
