@@ -6,6 +6,7 @@ from __future__ import annotations
 import difflib
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,29 @@ def _blocks(text: str | None) -> list[str]:
     return [b.strip() for b in re.split(r"\n+", text or "") if b.strip()]
 
 
+def _common(x: str, y: str) -> int:
+    """The length of the longest common subsequence, whose table has a bit for each character of x."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    row = whole = (1 << len(x)) - 1
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return len(x) - row.bit_count()
+
+
+def _near(x: str, y: str, alike: float) -> bool:
+    """Whether SequenceMatcher's ratio is `alike` at least. What it matches is no longer than the shorter
+    text, than the characters that both have, and than their longest common subsequence; these bounds are
+    much cheaper than the ratio and mostly decide."""
+    n = len(x) + len(y)
+    few = lambda m: 2.0 * m / n < alike
+    if n and (few(min(len(x), len(y))) or few((Counter(x) & Counter(y)).total()) or few(_common(x, y))):
+        return False
+    return difflib.SequenceMatcher(None, x, y).ratio() >= alike
+
+
 def block_diff(df: DataFrame, key: str, before: str, after: str, alike: float = 0.8) -> DataFrame:
     """(key, same, added, removed, reworded): blocks matched by content hash in order; a replaced
     block counts as reworded if its text is at least `alike` like the block it replaces."""
@@ -27,7 +51,7 @@ def block_diff(df: DataFrame, key: str, before: str, after: str, alike: float =
             if tag == "equal":
                 same += j - i
                 continue
-            near = sum(difflib.SequenceMatcher(None, x, y).ratio() >= alike for x, y in zip(a[i:j], b[k:l], strict=False))
+            near = sum(_near(x, y, alike) for x, y in zip(a[i:j], b[k:l], strict=False))
             reworded += near
             removed += j - i - near
             added += l - k - near

@@ -39,3 +39,12 @@ def test_differences_of_blocks(spark):
     df = spark.createDataFrame([(1, f"one\n{long}\nthree", f"one\n{long} now\nnew"), (2, None, "x\ny"), (3, "x  y", "x y"), (4, "a\nb", None), (5, None, None)], "k int, a string, b string")
     got = {tuple(r) for r in sequence.block_diff(df, "k", "a", "b").collect()}
     assert got == {(1, 1, 1, 1, 1), (2, 0, 2, 0, 0), (3, 1, 0, 0, 0), (4, 0, 0, 2, 0), (5, 0, 0, 0, 0)}
+
+
+def test_unlike_blocks_are_not_compared_letter_by_letter(spark, monkeypatch):
+    """Blocks that share too few characters are told apart by counting them."""
+    asked, whole = [], sequence.difflib.SequenceMatcher
+    monkeypatch.setattr(sequence.difflib, "SequenceMatcher", lambda *a, **k: asked.append(a) or whole(*a, **k))
+    pairs = [("abc " * 9, "xyz " * 9), ("short", "a much longer block"), ("some words", "some word"), ("", ""), ("ab" * 8, "ba" * 8), ("abcd", "dcba")]
+    assert [sequence._near(x, y, 0.8) for x, y in pairs] == [whole(None, x, y).ratio() >= 0.8 for x, y in pairs]
+    assert len(asked) == 3  # the last two have the same characters; of the last one few stand in the same order
