@@ -71,6 +71,45 @@ def merged_headers(own: str | None, more: str | None) -> str | None:
     return json.dumps(mine, sort_keys=True, ensure_ascii=False)
 
 
+class Open:
+    """Open requests in the order of their time, found by what `same_url` compares: each stands under its
+    address, its path and query, and its host and path, with its method and without."""
+
+    def __init__(self, requests: list[list]):
+        self.requests: list[list | None] = []
+        self.under: dict[tuple, list[int]] = {}
+        for r in requests:
+            self.add(r)
+
+    def add(self, request: list) -> None:
+        url, parts = request[4], _parts(request[4])
+        for key in [("url", url)] + ([("path", parts[1] + parts[2]), ("place", parts[:2])] if parts else []):
+            for method in {request[3], ANY_METHOD}:
+                self.under.setdefault((method, *key), []).append(len(self.requests))
+        self.requests.append(request)
+
+    def take(self, at: int, method: str, url: str, within: int) -> list | None:
+        """The newest open request that a response fits, which is open no more."""
+        if url.startswith("/"):
+            other = ("path", url.split("#")[0])
+        else:
+            parts = _parts(url)
+            other = parts and ("place", parts[:2])
+        best = -1
+        for key in (("url", url), other):
+            places = self.under.get((method, *key), []) if key else []
+            while places and self.requests[places[-1]] is None:
+                places.pop()
+            best = max(best, places[-1] if places else -1)
+        if best < 0 or at - self.requests[best][0] > within:
+            return None
+        request, self.requests[best] = self.requests[best], None
+        return request
+
+    def left(self) -> list[list]:
+        return [r for r in self.requests if r is not None]
+
+
 class Enricher(StatefulProcessor):
     def __init__(self, within_ms: int):
         self.within = within_ms
@@ -91,31 +130,23 @@ class Enricher(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         waiting, requests, out = list(self.waiting.get()), [list(r) for r in self.open.get()], []
         due = sorted((r for r in waiting if r[0] <= now), key=lambda r: (r[0], r[1] != REQUEST, r[2]))
+        found = Open(requests)
         for row in due:
             if row[1] == REQUEST:
-                requests.append(list(row))
+                found.add(list(row))
                 continue
             at, _, name, method, url, body, headers = row
-            k = self._newest(requests, at, method, url)
-            if k is None:
+            r = found.take(at, method, url, self.within)
+            if r is None:
                 out.append(self._row(None, name, at, "UNKNOWN" if method == ANY_METHOD else method, url, body, headers, True))
                 continue
-            r = requests.pop(k)
             out.append(self._row(r[2], name, r[0], r[3], r[4], body, merged_headers(r[6], headers), False))
+        requests = found.left()
         out += [self._row(r[2], None, r[0], r[3], r[4], None, r[6], False) for r in requests if r[0] + self.within < now]
         for state, left in ((self.waiting, [r for r in waiting if r[0] > now]), (self.open, [tuple(r) for r in requests if r[0] + self.within >= now])):
             state.put(left) if left else state.clear()
         return iter(out)
 
-    def _newest(self, requests: list[list], at: int, method: str, url: str) -> int | None:
-        """The place of the newest open request that a response fits."""
-        for k in range(len(requests) - 1, -1, -1):
-            if at - requests[k][0] > self.within:
-                return None
-            if method in (ANY_METHOD, requests[k][3]) and same_url(requests[k][4], url):
-                return k
-        return None
-
     @staticmethod
     def _row(request, response, at, method, url, body, headers, orphan) -> Row:
         return Row(request_id=request, response_id=response, at=at, method=method, url=url, body=body, headers=headers, orphan=orphan)
