@@ -34,6 +34,8 @@ STEPS, DAMPING, THRESHOLD = 10, 0.85, 1.0
 #: Steps between two looks, and the largest change of a host's rank over them, as a share of it, that ends;
 #: all later steps add about a sixth as much (DAMPING ** ROUND and its powers).
 ROUND, SETTLED = 12, 5e-7
+#: Steps in one plan. The driver holds a plan and the code made for it; plans of the same form share their code.
+PLAN = 3
 
 
 @dataclass(frozen=True)
@@ -109,16 +111,23 @@ def fixed_point(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) ->
     y = seed on, no host's y falls, and the sum of what a step adds shrinks by `damping` at least."""
     edges = settle(edges, "edges")
     seeds = settle(seeds.select("kind", "host", F.col("seed").alias("rank")), "seeds")
-    rank, moving = seeds, True
+    rank, moving, held = seeds, True, []
     while moving:
         now = rank
-        for _ in range(ROUND):
+        for k in range(1, ROUND + 1):
             moved = now.join(edges, (now.host == edges.src) & (now.kind == edges.kind)).select(now.kind, F.col("dst").alias("host"), (damping * F.col("rank") * F.col("p")).alias("rank"))
             terms = moved.unionByName(seeds)
-            now = terms.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            if k < ROUND:
+                now = terms.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            if k < ROUND and k % PLAN == 0:
+                done, now = held, settle(now, "rank")
+                drop(*done)
+                held = [now]
         before = rank.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
         now = settle(terms.withColumn("was", F.lit(0.0)).unionByName(before).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "rank")
         moving = bool(now.where(F.col("rank") - F.col("was") > SETTLED * F.col("rank")).limit(1).count())
+        drop(*held)
+        held = []
         if rank is not seeds:
             drop(rank)
         rank = now

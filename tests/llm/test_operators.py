@@ -530,3 +530,12 @@ def test_model_is_normalised_and_learns():
     every = np.arange(n)
     total = np.exp(m.log_prob(every[every != bilinear.START], np.full(n - 1, 5), np.full(n - 1, 9))).sum()
     assert abs(total - 1) < 1e-4
+
+
+def test_plans_of_ranks_are_short(spark, monkeypatch):
+    """The driver holds a plan and its code: no plan has all the steps between two looks."""
+    joins, settle = [], url_trust.settle
+    monkeypatch.setattr(url_trust, "settle", lambda df, name: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or settle(df, name))
+    edges = [("trust", "a", "b", 1.0), ("trust", "b", "c", 1.0), ("trust", "c", "a", 1.0)]
+    ranks = url_trust.fixed_point(spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double"), spark.createDataFrame(edges, "kind string, src string, dst string, p double")).collect()
+    assert math.isclose(sum(r["rank"] for r in ranks), 1.0, rel_tol=1e-9) and 1 <= max(joins) <= 3
