@@ -142,7 +142,8 @@ def blocks(placed: DataFrame, group: str, reach: Callable[[Window], Column], mos
     entered = leaving.repartition(n, "__group").sortWithinPartitions("__group", "__seg").mapInPandas(_entered, "__group string, __seg long, __entry long, __before long")
     known = steps.join(entered, ["__group", "__seg"], "left").fillna(0, ["__entry", "__before"])
     marked = known.repartition(n, "__group", "__seg").sortWithinPartitions("__group", "__seg", "__i").mapInPandas(_marked, "__group string, __i long, __block long")
-    out = placed.withColumn("__group", _name(group)).join(marked, ["__group", "__i"])
+    # as many rows as `placed`, but of steps that take few bytes on disk: by these Spark would broadcast them
+    out = placed.withColumn("__group", _name(group)).join(marked.hint("merge"), ["__group", "__i"])
     return out.withColumnRenamed("__block", block).drop("__group")
 
 
