@@ -146,19 +146,22 @@ def fan_out(spark, sf_dir):
     return spark.read.schema("event_type string, n long").json(f"{path}/manifest")
 
 
-def _stream(spark, rows: DataFrame, part) -> DataFrame:
-    """The rows as a stream of a batch for each part, in their order."""
-    path = folder(spark)
+def _streamed(spark, rows: DataFrame, part, run) -> DataFrame:
+    """What `run` makes of the rows as a stream of a batch for each part, in their order. A part's files,
+    as many as tasks wrote, are read as one batch before the next part is written."""
+    path, made = folder(spark), None
     for k in range(3):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(part == k).write.mode("append").parquet(path)
+        made = run(spark.readStream.schema(rows.schema).parquet(path))
+    return made
 
 
 @query("""WITH d AS (SELECT user_id AS item, least(2, day(ts) // 11)::INTEGER AS batch, sum(event_id)::BIGINT AS p FROM events GROUP BY 1, 2)
 SELECT c.batch, c.item, CASE WHEN b.item IS NULL THEN 'new' WHEN b.p = c.p THEN 'seen' ELSE 'updated' END AS event FROM d c LEFT JOIN d b ON b.item = c.item AND b.batch = c.batch - 1""")
 def stream_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("item"), F.least(F.lit(2), F.expr("day(ts) div 11").cast("int")).alias("batch")).agg(F.sum("event_id").alias("p"))
-    return folds.changes(_stream(spark, e, F.col("batch")).drop("batch"), folder(spark), "item", "p")
+    out = folder(spark)
+    return _streamed(spark, e, F.col("batch"), lambda d: folds.changes(d.drop("batch"), out, "item", "p"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -166,7 +169,8 @@ def stream_event_sink(spark, sf_dir):
     """Events that arrive twice, in another batch, are in the ledger once."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     twice = e.withColumn("batch", (F.col("event_id") % 3).cast("int")).unionByName(e.withColumn("batch", F.lit(2)))
-    return folds.event_sink(_stream(spark, twice, F.col("batch")).drop("batch"), folder(spark), "event_id")
+    out = folder(spark)
+    return _streamed(spark, twice, F.col("batch"), lambda d: folds.event_sink(d.drop("batch"), out, "event_id"))
 
 
 @query("""WITH w AS (SELECT user_id, date_trunc('hour', ts) AS hour, ts, event_id, event_type FROM events), b AS (SELECT user_id, hour, min((ts, event_id)) AS s FROM w WHERE event_type = 'signup' GROUP BY 1, 2),
@@ -174,7 +178,8 @@ t AS (SELECT w.user_id, w.hour, min((ts, event_id)) AS stop FROM w JOIN b ON b.u
 SELECT w.user_id, strftime(w.hour, '%Y-%m-%d %H') AS hour, count(*)::INTEGER AS phases, arg_max(event_type, (ts, event_id)) AS last_phase, arg_min(event_id, (ts, event_id)) AS first_id FROM w JOIN b ON b.user_id = w.user_id AND b.hour = w.hour JOIN t ON t.user_id = w.user_id AND t.hour = w.hour WHERE (ts, event_id) >= s AND (ts, event_id) <= stop GROUP BY 1, 2""")
 def stream_assembly(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    made = folds.assembled(_stream(spark, e, F.col("event_id") % 3), folder(spark), "user_id", "ts", "event_type", "event_id", "signup", ["purchase", "error"])
+    out = folder(spark)
+    made = _streamed(spark, e, F.col("event_id") % 3, lambda d: folds.assembled(d, out, "user_id", "ts", "event_type", "event_id", "signup", ["purchase", "error"]))
     return made.select("user_id", F.date_format("window", "yyyy-MM-dd HH").alias("hour"), "phases", "last_phase", "first_id")
 
 
@@ -182,8 +187,9 @@ def stream_assembly(spark, sf_dir):
 SELECT batch, user_id, array_to_string(list_filter(s, lambda x: NOT list_contains(was, x)), ',') AS added, array_to_string(list_filter(was, lambda x: NOT list_contains(s, x)), ',') AS removed FROM p""")
 def stream_set_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value > 60").select("user_id", "event_type", F.least(F.lit(2), F.expr("day(ts) div 11").cast("int")).alias("batch"))
-    out = folds.set_changes(_stream(spark, e, F.col("batch")).drop("batch"), folder(spark), "user_id", "event_type")
-    return out.select("batch", "user_id", F.concat_ws(",", "added").alias("added"), F.concat_ws(",", "removed").alias("removed"))
+    out = folder(spark)
+    made = _streamed(spark, e, F.col("batch"), lambda d: folds.set_changes(d.drop("batch"), out, "user_id", "event_type"))
+    return made.select("batch", "user_id", F.concat_ws(",", "added").alias("added"), F.concat_ws(",", "removed").alias("removed"))
 
 
 @query("""WITH d AS (SELECT source, count(*) AS n, sha256(string_agg('{"doc_id":' || doc_id || '}' || chr(10), '' ORDER BY doc_id)) AS sha, substr(source, 4)::INTEGER % 4 AS k FROM documents GROUP BY source)

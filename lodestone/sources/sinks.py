@@ -8,6 +8,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.joins import parts
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -31,11 +33,15 @@ def event_id(*parts: Column) -> Column:
 
 def append_events(rows: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the ledger does not have; of rows with the same key one. Running it
-    again with the same rows adds nothing. One writer at a time, as for any append-only ledger."""
+    again with the same rows adds nothing. One writer at a time, as for any append-only ledger. Rows and
+    ledger are dealt by key to as many parts as their numbers need before anything is sorted: a file's
+    split may hold many rows that take few bytes. The rows are counted first, so they are read twice."""
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates([key])
-    if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(rows.columns)
+    ledger = spark.read.parquet(path).select(key) if exists(spark, path) else None
+    n = max(parts(d) for d in (rows, ledger) if d is not None)
+    fresh = rows.repartition(n, key).dropDuplicates([key])
+    if ledger is not None:
+        fresh = fresh.join(ledger.repartition(n, key).hint("merge"), key, "left_anti").select(rows.columns)
     fresh.write.mode("append").parquet(path)
 
 
