@@ -20,6 +20,8 @@ from lodestone.operators.ordered import positions
 #: Kinds of nodes in the order in which they stand under a parent. Fixed values.
 TYPES = ["mainline", "decision", "next", "artifact", "question", "branch", "parked"]
 BLOCK = 4096
+#: Levels up to which a navigator keeps paths; children from which on a parent's are sorted by several tasks.
+DEEP, WIDE = 64, 100_000
 
 
 def known_parent(nodes: DataFrame, node: str, parent: str) -> DataFrame:
@@ -93,35 +95,90 @@ def _clean(c: str) -> Column:
     return F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
 
 
-def navigator(nodes: DataFrame, expanded: list[str] | None = None) -> DataFrame:
+def navigator(nodes: DataFrame, expanded: list[str] | None = None, deep: int = DEEP) -> DataFrame:
     """(id, kind, parent, relation, depth, row, child_count) of a navigator. Nodes have id, parent,
     branch_from, type, card and index (their place in the source). A node stands under its parent, else
     under what it branches from. Artifacts of one card under one parent are a group if they are two or more
     and not expanded (`parent::card`): one row stands for them, and they and all below them are hidden.
-    Nodes on cycles, also those under themselves, are under no root and left out."""
+    Nodes on cycles, also those under themselves, are under no root and left out. Trees of at most `deep`
+    levels without cycles are walked by paths, which costs a few shuffles of the nodes; others by a tour."""
     rows = nodes.select("id", F.coalesce(_clean("parent"), _clean("branch_from")).alias("up"), _clean("parent").isNotNull().alias("own"), _clean("type").alias("type"), _clean("card").alias("card"), "index").where("id is not null")
     at = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
     rows = cut(rows.withColumn("value", F.when(at > 0, at - 1).otherwise(99) * 1000 + F.col("index")))
-    placed = cut(layout(rows, "id", "up", ["value"], "index", cycles=False))
     key = F.concat(F.coalesce("up", F.lit("")), F.lit("::"), F.col("card"))
-    artifacts = rows.where("type = 'artifact' and card is not null").select("id", "up", "card", key.alias("key"))
+    artifacts = rows.where("type = 'artifact' and card is not null").select("id", "up", key.alias("key"))
     groups = artifacts.groupBy("key").agg(F.count("*").alias("n"), F.first("up").alias("up"))
     groups = cut(groups.where((F.col("n") > 1) & ~F.col("key").isin(expanded or [])))
-    members = artifacts.join(groups.select("key"), "key").select(F.col("id").alias("node"), "key")
-    own_parent = rows.where("up = id").select(F.col("id").alias("node"))  # the shortest cycle
-    hidden = cut(below(placed, members.select("node").unionByName(own_parent)))
-    shown = placed.join(hidden, "node", "left_anti")
-    children = placed.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"))
-    one = shown.join(children, "node", "left").join(rows.select(F.col("id").alias("node"), "own"), "node")
+    members = artifacts.join(groups.select("key").hint("merge"), "key").select(F.col("id").alias("node"), "key")
+    walked = _paths(rows, members, deep)
+    if walked is None:
+        walked = _toured(rows, members)
+    placed, shown = walked.select("node", "pos"), walked.where("not hid")
     relation = F.when(F.col("parent").isNotNull(), F.when(F.col("own"), "parent").otherwise("branch_from"))
-    one = one.select(F.col("node").alias("id"), F.lit("node").alias("kind"), "parent", relation.alias("relation"), "depth", F.col("row").alias("__pos"), F.coalesce("n", F.lit(0)).alias("child_count"))
-    first = members.join(placed.select("node", "row"), "node").groupBy("key").agg(F.min("row").alias("__pos"))
-    over = groups.join(first, "key").join(shown.select(F.col("node").alias("up"), "depth"), "up")
+    one = shown.select(F.col("node").alias("id"), F.lit("node").alias("kind"), "parent", relation.alias("relation"), "depth", F.col("pos").alias("__pos"), F.col("n").alias("child_count"))
+    first = members.join(placed.hint("merge"), "node").groupBy("key").agg(F.min("pos").alias("__pos"))
+    over = groups.join(first.hint("merge"), "key").join(shown.select(F.col("node").alias("up"), "depth").hint("merge"), "up")
     many = over.select(F.concat(F.lit("artifact-group:"), "key").alias("id"), F.lit("artifact_group").alias("kind"), F.col("up").alias("parent"), F.lit("artifact_group").alias("relation"), (F.col("depth") + 1).alias("depth"), "__pos", F.col("n").alias("child_count"))
     numbered = positions(one.unionByName(many).withColumn("__all", F.lit(0)), "__all", ["__pos"])
     return numbered.select("id", "kind", "parent", "relation", "depth", F.col("__i").alias("row"), "child_count")
 
 
+def _code(i: Column) -> Column:
+    """A number of 0 or more as bytes that sort as it does, none of which begins another's."""
+    h = F.hex(i)
+    even = F.lpad(h, F.length(h) + F.length(h) % 2, F.lit("0"))
+    return F.unhex(F.when(i < 192, F.lpad(h, 2, "0")).otherwise(F.concat(F.hex(192 + F.length(even) / 2), even)))
+
+
+def _paths(rows: DataFrame, members: DataFrame, deep: int) -> DataFrame | None:
+    """(node, parent, own, n, depth, pos, hid): n children; pos, the places among brothers and sisters from
+    the root down, whose bytes sort in depth-first order; hid, whether the node or an ancestor is one of
+    the members. None if a node has over `deep` ancestors or is on or below a cycle. Paths are joined from
+    both halves, so that there are log2(deep) rounds, and only nodes with children are joined to.
+    Joins are merges: by the few bytes of these rows on disk Spark would broadcast them."""
+    counts = rows.where("up is not null").groupBy(F.col("up").alias("__up")).agg(F.count("*").alias("n"))
+    hidden = members.select(F.col("node").alias("__m"), F.lit(True).alias("hid"))
+    known = rows.select("id", "up", "own", "value", "index").join(counts.hint("merge"), F.col("id") == F.col("__up"), "left").join(hidden.hint("merge"), F.col("id") == F.col("__m"), "left")
+    known = cut(known.select("id", "up", "own", "value", "index", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hid", F.lit(False)).alias("hid"), F.monotonically_increasing_id().alias("num")))
+    children = known.where("up is not null").select("num", "up", "value", "index", "hid", (F.col("n") > 0).alias("inner"))
+    wide = cut(counts.where(F.col("n") > WIDE).select(F.col("__up").alias("up")))  # few: each has many children
+    parents = known.where("n > 0").select(F.col("id").alias("up"), F.col("num").alias("above"))
+    brothers = F.row_number().over(Window.partitionBy("up").orderBy("value", "index")) - 1
+    met = children.join(F.broadcast(wide), "up", "left_anti").join(parents.hint("merge"), "up", "left").withColumn("__i", brothers.cast("long"))
+    if wide.take(1):
+        most = positions(children.join(F.broadcast(wide), "up", "left_semi"), "up", ["value", "index"])
+        met = met.unionByName(most.join(F.broadcast(parents.join(F.broadcast(wide), "up", "left_semi")), "up", "left"))
+    met = cut(met)
+    kids = met.where("above is not null").select("num", "above", _code(F.col("__i")).alias("pos"), F.lit(1).alias("depth"), "hid", "inner")
+    roots = known.where("up is null").select("num", "value", "index", "hid", (F.col("n") > 0).alias("inner")).unionByName(met.where("above is null").select("num", "value", "index", "hid", "inner"))
+    roots = positions(roots.withColumn("__all", F.lit(0)), "__all", ["value", "index"])
+    done = cut(roots.select("num", F.lit(None).cast("long").alias("above"), _code(F.col("__i")).alias("pos"), F.lit(0).alias("depth"), "hid", "inner"))
+    open_ = kids
+    for _ in range(ceil(log2(deep))):
+        if not open_.take(1):
+            break
+        over = done.unionByName(open_).where("inner").select(F.col("num").alias("above"), F.col("above").alias("__a"), F.col("pos").alias("__p"), F.col("depth").alias("__d"), F.col("hid").alias("__h"))
+        far = open_.join(over.hint("merge"), "above").select("num", F.col("__a").alias("above"), F.concat("__p", "pos").alias("pos"), (F.col("depth") + F.col("__d")).alias("depth"), (F.col("hid") | F.col("__h")).alias("hid"), "inner")
+        far = cut(far)
+        done, open_ = done.unionByName(far.where("above is null")), far.where("above is not null")
+    else:
+        if open_.take(1):
+            return None
+    told = known.select("num", F.col("id").alias("node"), F.col("up").alias("parent"), "own", "n")
+    walked = done.select("num", F.col("depth").cast("long").alias("depth"), "pos", "hid").join(told.hint("merge"), "num").drop("num")
+    return cut(walked.withColumn("parent", F.when(F.col("depth") > 0, F.col("parent"))))
+
+
+def _toured(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """What `_paths` gives, of trees of any depth and without what is on or below a cycle; pos is the row."""
+    placed = cut(layout(rows, "id", "up", ["value"], "index", cycles=False))
+    own_parent = rows.where("up = id").select(F.col("id").alias("node"))  # the shortest cycle
+    hidden = below(placed, members.select("node").unionByName(own_parent)).withColumn("hid", F.lit(True))
+    children = placed.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"))
+    told = placed.join(hidden, "node", "left").join(children, "node", "left").join(rows.select(F.col("id").alias("node"), "own"), "node")
+    return cut(told.select("node", "parent", "own", F.coalesce("n", F.lit(0)).alias("n"), "depth", F.col("row").alias("pos"), F.coalesce("hid", F.lit(False)).alias("hid")))
+
+
 def thread_depths(entries: DataFrame, run: str, parent: str, index: str, most: int = 100) -> DataFrame:
     """(run, depth, mainline): how many forks lead to an entry, `most` and one at most, also on cycles. A
     parent that is not in the table counts as a fork, and the entry is of the main line, as is one

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import trees
 
@@ -107,6 +108,37 @@ def test_navigator(spark, expanded):
     assert [tuple(x) for x in got] == plain_navigator(nodes, set(expanded))
 
 
+@pytest.mark.parametrize(("deep", "wide"), [(64, 3), (4, 100_000)])
+def test_navigator_by_paths(spark, monkeypatch, deep, wide):
+    """Without cycles; a chain of 20 is deeper than 4, and over 200 roots have places of two bytes."""
+    monkeypatch.setattr(trees, "WIDE", wide)
+    r = random.Random(11)
+    nodes = [(f"n{k}", r.choice([None, f"n{r.randrange(max(1, k))}", "gone"]) if k else None, None, r.choice([*trees.TYPES, "artifact", "artifact", "odd", None]), r.choice(["card0", "card1", None]), k) for k in range(400)]
+    nodes += [(f"c{k}", f"c{k - 1}" if k else None, None, "next", None, 600 + k) for k in range(20)] + [(f"m{k}", "c0", None, "next", None, 700 + k) for k in range(250)]
+    d = spark.createDataFrame(nodes, "id string, parent string, branch_from string, type string, card string, index int").repartition(3)
+    got = trees.navigator(d, ["n0::card0"], deep).orderBy("row").collect()
+    assert [tuple(x) for x in got] == plain_navigator(nodes, {"n0::card0"})
+
+
+def test_navigator_shuffles_nodes_a_few_times(spark):
+    """A tour of the nodes was shuffled and written again in each of its rounds."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    k = F.col("id")
+    d = spark.range(6000).repartition(3).select(F.concat(F.lit("n"), k).alias("id"), F.when(k > 0, F.concat(F.lit("n"), F.floor(k / 3))).alias("parent"), F.lit(None).cast("string").alias("branch_from"), F.lit("next").alias("type"), F.lit(None).cast("string").alias("card"), k.alias("index"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as of larger tables
+    try:
+        before = written()
+        assert trees.navigator(d).count() == 6000
+        assert written() - before < 2_500_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_thread_depths(spark):
     r = random.Random(2)
     rows = [(f"r{k}", r.choice([None, "", "gone", f"r{r.randrange(max(1, k))}", f"r{max(0, k - 1)}"]) if k else None, k) for k in range(60)] + [(f"d{k}", f"d{k - 1}" if k else None, 100 + k) for k in range(130)] + [("a", "b", 500), ("b", "a", 501)]
