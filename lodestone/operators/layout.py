@@ -15,11 +15,11 @@ OVERLAP_AHEAD, STACK_AHEAD = 9, 7
 _BOX = ("x0", "y0", "x1", "y1")
 
 
-def ahead(placed: DataFrame, group: str, most: int, row: Column, segment: int = SEGMENT) -> DataFrame:
+def ahead(placed: DataFrame, group: str, most: int, row: Column, segment: int = SEGMENT, derived: dict[str, Column] | None = None) -> DataFrame:
     """Adds __ahead, an array of `row` of the up to `most` rows of the group that follow in place (__i of
-    `positions`)."""
+    `positions`). Columns `derived` from the others, and `row`, are made after the rows are dealt."""
     seg = F.floor(F.col("__i") / segment)
-    rows = placed.withColumn("__seg", F.explode(F.when((F.col("__i") % segment < most) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))))
+    rows = placed.withColumn("__seg", F.explode(F.when((F.col("__i") % segment < most) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg)))).repartition(group, "__seg").withColumns(derived or {})
     frame = Window.partitionBy(group, "__seg").orderBy("__i").rowsBetween(1, most)
     return rows.withColumn("__ahead", F.collect_list(row).over(frame)).where(F.col("__seg") == seg).drop("__seg")
 
@@ -72,12 +72,13 @@ def layout_issues(lines: DataFrame, page: str, text: str, size: str, frame: tupl
     d = lines.select(F.col(page), *(F.col(c) for c in order if c != page and c not in _BOX), said.alias("__text"), F.col(size).cast("double").alias("__size"), F.col(median).cast("double").alias("__median"), *(F.col(c).cast("double").alias(f"__{c}") for c in _BOX), *(F.col(c).cast("double").alias(f"__p{k}") for c, k in zip(frame, _BOX, strict=True)))
     letters = F.lower(F.regexp_replace("__text", r"[^0-9A-Za-z\x{3400}-\x{9fff}]+", ""))
     bare = F.regexp_replace("__text", r"\s", "")
-    d = d.withColumns({"__cjk": F.regexp_count("__text", F.lit(CJK)), "__latin": F.regexp_count("__text", F.lit("[A-Za-z]")), "__letters": letters, "__bare": F.length(bare)})
-    d = d.withColumn("__single", (F.col("__cjk") == 1) & (F.col("__bare") <= 2))
+    cjk = F.regexp_count("__text", F.lit(CJK))
+    single = (cjk == 1) & (F.length(bare) <= 2)
+    derived = {"__cjk": cjk, "__latin": F.regexp_count("__text", F.lit("[A-Za-z]")), "__letters": letters, "__bare": F.length(bare), "__single": single}
     ties = [c for c in order if c != page and c not in _BOX]
     placed = positions(d, page, ["__y0", "__x0", *ties])
     parts = ("text", "size", "cjk", "latin", "letters", *_BOX)
-    seen = ahead(placed, page, OVERLAP_AHEAD, F.struct(*(_here(c).alias(c) for c in parts)), segment)
+    seen = ahead(placed, page, OVERLAP_AHEAD, F.struct(*(_here(c).alias(c) for c in parts)), segment, derived)
     below = F.transform("__ahead", lambda b: b["y0"] > _here("y1") + 3)
     near = F.when(F.array_contains(below, True), F.slice("__ahead", 1, (F.array_position(below, True) - 1).cast("int"))).otherwise(F.col("__ahead"))
     hit = F.get(F.filter(near, lambda b: _upon(_here, _of(b), F.col("__median"))), F.lit(0))
@@ -91,12 +92,12 @@ def layout_issues(lines: DataFrame, page: str, text: str, size: str, frame: tupl
         F.when(out, issue("clipped", F.concat(F.lit("outside: "), F.left("__text", F.lit(80))), own)), F.when(edge, issue("clipped", F.concat(F.lit("fragment: "), F.left("__text", F.lit(20))), own)),
         F.when(F.col("__hit").isNotNull(), issue("overlap", F.concat(F.left("__text", F.lit(40)), F.lit(" / "), F.left(F.col("__hit").getField("text"), F.lit(40))), both)),
     ))).alias("__f"))
-    return found.select(page, "__f.*").unionByName(_stacks(placed, page, ties, segment))
+    return found.select(page, "__f.*").unionByName(_stacks(placed.where(single), page, ties, segment))
 
 
 def _stacks(placed: DataFrame, page: str, ties: list[str], segment: int) -> DataFrame:
     """The first column of three or more single characters of each page."""
-    singles = positions(placed.where("__single").drop("__i"), page, ["__y0", "__x0", *ties])
+    singles = positions(placed.select(page, *ties, "__text", *(f"__{c}" for c in _BOX)), page, ["__y0", "__x0", *ties])
     seen = ahead(singles, page, STACK_AHEAD, F.struct(*(_here(c).alias(c) for c in ("text", *_BOX))), segment)
     first = F.struct(*(_here(c).alias(c) for c in ("text", *_BOX)))
 

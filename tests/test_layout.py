@@ -83,3 +83,10 @@ def test_issues_equal_a_plain_loop(spark):
 def test_no_lines(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert layout.layout_issues(df, "page", "words", "size", ("px0", "py0", "px1", "py1"), "median", ["n"]).count() == 0
+
+
+def test_lines_are_dealt_before_what_is_derived(spark):
+    """What a line is compared by was shuffled beside the columns that it is made of."""
+    df = spark.createDataFrame([("p", 1, "Table", 9.0, *[1.0] * 8, 10.0)], SCHEMA)
+    made = layout.layout_issues(df, "page", "words", "size", ("px0", "py0", "px1", "py1"), "median", ["n"])
+    assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
